@@ -50,3 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Most ids that are broadcast to drop rows (a long each); more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one-column table ``ids``; rows of null id stay."""
+    gone = cut(ids.toDF("__gone").where("__gone IS NOT NULL").distinct())
+    if gone.count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridlore.llm import q_chat, q_htmltext, q_mixing, q_neardup, q_quality, q_sharding, q_urlfilter
+from gridlore.llm import q_chat, q_decontam, q_htmltext, q_langid, q_lmscore, q_mixing, q_neardup, q_quality, q_sharding, q_urlfilter
 
-MODULES = [q_sharding, q_mixing, q_neardup, q_htmltext, q_quality, q_chat, q_urlfilter]
+MODULES = [q_sharding, q_langid, q_mixing, q_neardup, q_htmltext, q_quality, q_chat, q_decontam, q_urlfilter, q_lmscore]
 
 
 def queries():
