@@ -115,33 +115,37 @@ def _pad(sets: list[np.ndarray], k: int = SKETCH) -> tuple[np.ndarray, np.ndarra
     return out, sizes
 
 
-def link_blocks(rows: list[np.ndarray], others: list[np.ndarray], row_ids: list, other_ids: list, percent: int) -> Iterator[tuple]:
-    """A spanning forest of the links between ``rows`` and ``others``, each verified on whole sets."""
-    root: dict = {}
-
-    def find(x):
-        while (p := root.get(x, x)) != x:
-            root[x] = root.get(p, p)
-            x = p
-        return x
+def link_blocks(rows: list[np.ndarray], others: list[np.ndarray], row_ids: list, other_ids: list, percent: int, tied: list[bool] | None = None) -> Iterator[tuple]:
+    """A spanning forest of the links between ``rows`` and ``others``, each verified on whole sets.
 
+    ``tied`` marks others that are known to be linked with each other. What is already connected is not
+    compared again.
+    """
     sketches, kept = _pad(others)
     sizes = np.array([len(s) for s in others])
     floor = estimate_floor(percent)
-    for s, a in zip(rows, row_ids):
+    ids, where = np.unique(np.array([*row_ids, *other_ids]), return_inverse=True)
+    row_at, other_at = where[: len(rows)], where[len(rows) :]
+    label = np.arange(len(ids))
+    if tied is not None and any(tied):
+        label[other_at[np.array(tied, bool)]] = len(ids)
+    for k, (s, a) in enumerate(zip(rows, row_ids)):
         n = len(s)
-        near = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (union_estimate(s[:SKETCH], sketches, kept) >= floor)
-        for j in np.flatnonzero(near):
-            b = other_ids[j]
-            ra, rb = find(a), find(b)
-            if ra == rb:
+        fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+        near = np.flatnonzero(fits & (label[other_at] != label[row_at[k]]))
+        if not len(near):
+            continue
+        estimate = union_estimate(s[:SKETCH], sketches[near], kept[near])
+        for j in near[np.argsort(-estimate, kind="stable")[: int((estimate >= floor).sum())]]:
+            mine, its = label[row_at[k]], label[other_at[j]]
+            if mine == its:
                 continue
             o = others[j]
             at = np.searchsorted(s, o)
             inter = int((s[np.minimum(at, n - 1)] == o).sum())
             if linked(inter, n, len(o), percent):
-                root[max(ra, rb)] = min(ra, rb)
-                yield a, b
+                label[label == its] = mine
+                yield a, other_ids[j]
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -219,18 +223,20 @@ def links(docs: DataFrame, members: DataFrame, *, text_col: str, id_col: str, wi
     left = checked.where("NOT ok").groupBy("fam").agg(F.count("*").alias("l"))
     # families of two are settled by the centre alone
     open_ = sizes.join(left, "fam").where("m > 2").withColumns({"bi": F.ceil(F.col("l") / block).cast("int"), "bj": F.ceil(F.col("m") / block).cast("int")})
+    tied = checked.select("rep", "ok")
     rows = sets.join(loose, "rep", "left_semi").join(open_, "fam")
     mine = lambda n, seed: F.pmod(seeded(seed, F.col("rep")), F.greatest(F.col(n), F.lit(1))).cast("int")
-    one = rows.select("fam", "rep", "set", mine("bi", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(True).alias("row"))
-    other = sets.join(open_, "fam").where("rep <> centre").select("fam", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("row"))
+    one = rows.select("fam", "rep", "set", mine("bi", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(True).alias("row"), F.lit(False).alias("ok"))
+    other = sets.join(tied, "rep").join(open_, "fam").select("fam", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("row"), "ok")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
         a, b = frame[frame["row"]], frame[~frame["row"]]
-        out = link_blocks([_unpack(x) for x in a["set"]], [_unpack(x) for x in b["set"]], a["rep"].tolist(), b["rep"].tolist(), percent) if len(a) and len(b) else []
+        out = link_blocks([_unpack(x) for x in a["set"]], [_unpack(x) for x in b["set"]], a["rep"].tolist(), b["rep"].tolist(), percent, b["ok"].tolist()) if len(a) and len(b) else []
         return pd.DataFrame([(x, y) for x, y in out if x != y], columns=["a", "b"])
 
-    found = one.union(other).groupBy("fam", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    # dealt by all three, or a family's blocks would stay together in the task of the family
+    found = one.union(other).repartition("fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
     return star.union(found)
 
 
