@@ -165,7 +165,7 @@ class Index:
             for doc, score in found:
                 q, a = (self._overlap(part, have, small) for part in self.parts[doc])
                 if q >= overlap and a >= overlap and (doc not in best or score > best[doc][2] + 1e-9):
-                    best[doc] = (self.ids[doc], int(p), float(score), q, a)
+                    best[doc] = (self.ids[doc], int(p), min(1.0, float(score)), q, a)
         return [best[d] for d in sorted(best)]
 
     @staticmethod
