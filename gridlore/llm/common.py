@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlore.storage import checkpoint_dir, cut
+
+__all__ = ["checkpoint_dir", "cut", "n_words", "seeded", "table", "without_ids"]
+
 #: A word is a maximal run of characters outside space and \t \n \v \f \r.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
-def words(text: Column) -> Column:
-    """Array of the words of ``text``; empty for null."""
-    parts = F.filter(F.split(text, SEPARATORS, -1), lambda w: w != "")
-    return F.coalesce(parts, F.array().cast("array<string>"))
-
-
 def n_words(text: Column) -> Column:
     """Number of words, without building the filtered array; 0 for null."""
-    edges = [F.length(text) == 0, text.rlike(r"^[\x20\x09-\x0D]"), text.rlike(r"(?s)[^\x20\x09-\x0D][\x20\x09-\x0D]+\z")]
-    pieces = F.size(F.split(text, SEPARATORS, -1)).cast("long")
-    extra = sum((e.cast("long") for e in edges[1:]), F.lit(0).cast("long"))
-    # text of separators alone splits into two empty pieces
-    blank = ~text.rlike(r"[^\x20\x09-\x0D]")
-    return F.when(text.isNull() | blank, F.lit(0).cast("long")).otherwise(pieces - extra)
+    count = lambda c: c.cast("long")
+    leading, trailing = text.rlike(r"^[\x20\x09-\x0D]"), text.rlike(r"[\x20\x09-\x0D]\z")
+    # pieces between separators, less the empty ones at the ends
+    pieces = count(F.size(F.split(text, SEPARATORS, -1))) - count(leading) - count(trailing)
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(count(F.lit(0)))
 
 
 def seeded(seed: int, *cols: Column) -> Column:
@@ -31,23 +28,6 @@ def seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder (spark.checkpoint.dir); beside the warehouse where none is set."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; Spark removes the files once unreferenced."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
