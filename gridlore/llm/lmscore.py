@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 CLASSES, SHARED = 256, 32
 EMBEDDING, HIDDEN = 24, 64
 #: Distinct words or triples that a task gathers before it passes their counts on.
-FLUSH = 1_000_000
+FLUSH = 250_000
 _TABLE: dict[int, np.ndarray] = {}
 
 
@@ -96,7 +96,7 @@ def triple_counts(docs: DataFrame, text_col: str, words: Vocabulary) -> DataFram
                 if len(c):
                     waiting.append(coded(c))
                     size += len(c)
-                if size >= 8 * FLUSH:
+                if size >= 16 * FLUSH:
                     yield gathered()
                     size = 0
         yield gathered()
