@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import clock, ordinal
 from gridlore.functions.hilbert import CompositeKey, covering_ranges, hilbert_key, hilbert_point, key_of, quantize
 from gridlore.model import CompactionConfig, RetentionPolicy
-from gridlore.operators import blocks, join, merkle, order, outbox, scan
+from gridlore.operators import blocks, join, merkle, order, outbox, scan, sync
 from gridlore.sources.bindings import BLOCK, EV_KEY, LI_KEY, PT_KEY, event_state, events, lineitems, nested, parts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,6 +463,37 @@ def merkle_diff_leaves(spark, sf):
     return merkle.diff_leaves(leaves, leaves.withColumn("hash", F.when(F.col("idx") % 7 == 3, merkle.ZERO).otherwise(F.col("hash"))))
 
 
+BLOCKS_SQL = f"k AS (SELECT block_id, sha256(string_agg({ROW_SQL}, chr(10) ORDER BY revision)) AS checksum FROM ev GROUP BY block_id)"
+
+
+def _holders(spark, sf):
+    mine = blocks.block_checksums(events(spark, sf), ["revision"], ["c0", "c1", "revision", "event_type"])
+    stale = F.when(F.col("block_id") % 5 == 2, merkle.ZERO).otherwise(F.col("checksum")).alias("checksum")
+    return mine, mine.where("block_id % 4 <> 1").select("block_id", stale)
+
+
+@query("sync_differing_blocks", f"WITH {EV}, {BLOCKS_SQL} SELECT block_id FROM k WHERE block_id % 4 = 1 OR block_id % 5 = 2")
+def sync_differing_blocks(spark, sf):
+    return sync.differing_blocks(*_holders(spark, sf))
+
+
+@query("sync_bring_up_to_date", f"WITH {EV}, {BLOCKS_SQL} SELECT block_id, checksum FROM k")
+def sync_bring_up_to_date(spark, sf):
+    return sync.bring_up_to_date(*_holders(spark, sf))
+
+
+@query("snapshot_message_round_trip", f"WITH {EV} SELECT block_id, count(*) AS n_rows, min(revision) AS min_revision, max(revision) AS max_revision FROM ev GROUP BY block_id")
+def snapshot_message_round_trip(spark, sf):
+    listed = blocks.block_stats(events(spark, sf)).drop("live_ratio")
+    return sync.decode_snapshot(sync.encode_snapshot(listed), "block_id long, n_rows long, min_revision long, max_revision long")
+
+
+@query("cache_residents", f"WITH {EV}, b AS (SELECT block_id, max(revision) AS used, CAST(64 + sum(48 + length(event_type)) AS BIGINT) AS size FROM ev GROUP BY block_id), r AS (SELECT *, sum(size) OVER (ORDER BY used DESC, block_id) AS running FROM b) SELECT block_id, size, CAST(running AS BIGINT) AS running FROM r WHERE running <= 100000")
+def cache_residents(spark, sf):
+    b = events(spark, sf).groupBy("block_id").agg(F.max("revision").alias("used"), (blocks.BLOCK_BYTES + F.sum(blocks.RECORD_BYTES + F.length("event_type"))).cast("long").alias("size"))
+    return sync.cache_residents(b, 100_000, last_used="used", size="size").drop("used")
+
+
 # ---- replication
 
 OUTBOX_SQL = "ob AS (SELECT event_id + 1 AS op_id, CAST(event_id % 4 AS INTEGER) AS attempts, (event_id * 7919) % 100000 AS next_attempt_at_ms, CAST(NULL AS VARCHAR) AS last_error FROM events), due AS (SELECT * FROM ob WHERE next_attempt_at_ms <= 50000 ORDER BY op_id LIMIT 300), rs AS (SELECT op_id, CASE op_id % 5 WHEN 0 THEN 'retry' WHEN 1 THEN 'conflict_stale' ELSE 'ack' END AS result, CASE op_id % 5 WHEN 0 THEN 'offline' END AS error FROM ob WHERE op_id % 7 <> 0)"
