@@ -14,8 +14,11 @@ from gridlore.llm.common import cut
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether all (a, b) edges are stars: no node has two edges down, and none that is a root has one."""
+    ends = F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.x").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
+    return nodes.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,17 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     Roots are the least nodes of their components. Loops, repeated and null edges are ignored.
     """
     now = cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(now)
     for _ in range(MAX_ROUNDS):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(down, "a")
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = cut(small)
-        after = _state(now)
-        if after == before:
+        if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = after
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        # large star: every greater neighbour meets the least of the neighbourhood
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        # small star: a node and its lesser neighbours meet the least of them
+        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = cut(joined.select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -36,7 +36,7 @@ SIGMAS = 5.5
 #: Members of a block; a task of step 3 holds two blocks of sets.
 BLOCK = 1024
 #: Words whose hashes a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 200_000
 
 
 class _Hashes(dict):
@@ -214,20 +214,20 @@ def links(docs: DataFrame, members: DataFrame, *, text_col: str, id_col: str, wi
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = [any(True for _ in link_blocks([_unpack(m)], [_unpack(s)], [0], [1], percent)) for s, m in zip(frame["set"], frame["mid"])]
-            yield frame[["rep", "fam", "centre"]].assign(ok=np.array(keep, bool))
+            yield frame.drop(columns="mid").assign(ok=np.array(keep, bool))
 
-    checked = cut(sets.join(middle, "fam").where("rep <> centre").select("rep", "fam", "centre", "set", "mid").mapInPandas(verify, f"rep {kind}, fam {kind}, centre {kind}, ok boolean"))
+    # all members but the centres, and whether the centre links them
+    checked = cut(sets.join(middle, "fam").where("rep <> centre").select("rep", "fam", "centre", "set", "mid").mapInPandas(verify, f"rep {kind}, fam {kind}, centre {kind}, set binary, ok boolean"))
     star = checked.where("ok").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    loose = checked.where("NOT ok").select("rep")
-    sizes = sets.groupBy("fam").agg(F.count("*").alias("m"))
-    left = checked.where("NOT ok").groupBy("fam").agg(F.count("*").alias("l"))
-    # families of two are settled by the centre alone
-    open_ = sizes.join(left, "fam").where("m > 2").withColumns({"bi": F.ceil(F.col("l") / block).cast("int"), "bj": F.ceil(F.col("m") / block).cast("int")})
-    tied = checked.select("rep", "ok")
-    rows = sets.join(loose, "rep", "left_semi").join(open_, "fam")
-    mine = lambda n, seed: F.pmod(seeded(seed, F.col("rep")), F.greatest(F.col(n), F.lit(1))).cast("int")
-    one = rows.select("fam", "rep", "set", mine("bi", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(True).alias("row"), F.lit(False).alias("ok"))
-    other = sets.join(tied, "rep").join(open_, "fam").select("fam", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("row"), "ok")
+    # families in which the centre leaves somebody out, unless that is the only other member
+    left = checked.groupBy("fam").agg(F.count("*").alias("m"), F.count_if(~F.col("ok")).alias("l")).where("l > 0 AND m > 1")
+    open_ = left.select("fam", F.ceil(F.col("l") / block).cast("int").alias("bi"), F.ceil(F.col("m") / block).cast("int").alias("bj"))
+    mine = lambda n, seed: F.pmod(seeded(seed, F.col("rep")), F.col(n)).cast("int")
+    # a member stands in its block of all members against every block of left-out ones, and the other way round
+    as_other = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("row")))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("bj") - 1), lambda j: F.struct(mine("bi", 1).alias("i"), j.alias("j"), F.lit(True).alias("row")))
+    cells = F.explode(F.when(F.col("ok"), as_other).otherwise(F.concat(as_other, as_row))).alias("cell")
+    dealt = checked.join(open_, "fam").select("fam", "rep", "set", "ok", cells).select("fam", "rep", "set", "ok", "cell.*")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
@@ -236,7 +236,7 @@ def links(docs: DataFrame, members: DataFrame, *, text_col: str, id_col: str, wi
         return pd.DataFrame([(x, y) for x, y in out if x != y], columns=["a", "b"])
 
     # dealt by all three, or a family's blocks would stay together in the task of the family
-    found = one.union(other).repartition("fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    found = dealt.repartition("fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
     return star.union(found)
 
 
