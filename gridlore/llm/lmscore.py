@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Classes: one boundary, then common words, then shared classes of all other words.
-CLASSES, SHARED = 256, 32
+CLASSES, SHARED = 192, 32
 EMBEDDING, HIDDEN = 24, 64
 #: Distinct words or triples that a task gathers before it passes their counts on.
 FLUSH = 250_000
@@ -151,7 +151,8 @@ class Network:
             return []
         order = np.argsort(code)
         code, n = code[order], n[order].astype(np.float32)
-        context, token = code // CLASSES, code % CLASSES
+        context, token = (code // CLASSES).astype(np.int32), (code % CLASSES).astype(np.int16)
+        del code, order
         seen, first = np.unique(context, return_index=True)
         ends = np.r_[first[1:], len(context)]
         weight = np.add.reduceat(n, first).astype(np.float64)
@@ -185,9 +186,11 @@ class Network:
 def fit(docs: DataFrame, *, text_col: str) -> tuple[Vocabulary, Network]:
     """Vocabulary and network of all documents. The driver holds at most CLASSES ** 3 counts."""
     words = vocabulary(docs, text_col)
-    counts = triple_counts(docs, text_col, words).toPandas()
+    counts = triple_counts(docs, text_col, words).toArrow()  # columns of numbers, not a row object for each cell
+    code, n = counts["code"].to_numpy(), counts["n"].to_numpy()
+    del counts
     net = Network()
-    net.train(counts["code"].to_numpy(), counts["n"].to_numpy())
+    net.train(code, n)
     return words, net
 
 
