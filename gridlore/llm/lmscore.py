@@ -6,9 +6,14 @@ of the left and the right token, a tanh layer, a softmax over the vocabulary. To
 the commonest of the corpus have a class each, the others share classes by a hash.
 
 What the network learns from is counted over the whole corpus: word frequencies, then (left, token, right)
-triples. The triples of a fixed vocabulary are a bounded table whatever the corpus holds, and the network
-is trained on it with numpy. As a context is a pair of classes, a worker compiles the network once into a
+triples. There are a fixed number of classes, so the triples are a bounded table and do not grow with the corpus
+beyond it; the network is trained on it with numpy, in steps that grow with the contexts found. As a context is a pair of classes, a worker compiles the network once into a
 table of log-probabilities and scores by lookup.
+
+A shared class is not yet a word. The words beyond the common ones are an open vocabulary: the probability of
+each, given that the token is such a word, is spelled out letter by letter, by letter trigrams counted over all
+such tokens of the corpus. The classes' log-probability alone is ``log_likelihood``; that of the words themselves,
+which adds up to 1 over all words there can be, is ``word_log_likelihood``.
 """
 
 from __future__ import annotations
@@ -23,11 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Classes: one boundary, then common words, then shared classes of all other words.
-CLASSES, SHARED = 192, 32
+CLASSES, SHARED = 256, 32
 EMBEDDING, HIDDEN = 24, 64
+#: Contexts in a training batch, least number of batches, and draws for each context that the corpus has.
+BATCH, LEAST_STEPS, DRAWS = 2048, 240, 16
 #: Distinct words or triples that a task gathers before it passes their counts on.
 FLUSH = 250_000
-_TABLE: dict[int, np.ndarray] = {}
+#: Ends a word and stands before it; no word has this byte. Letters that a word may have; weight of the shorter context.
+END, BACKOFF = 32, 4.0
+LETTERS = np.array([b for b in range(256) if b not in b" \t\n\r\x0b\x0c"])
+_TABLE: dict[int, tuple[np.ndarray, np.ndarray, Spelling]] = {}
 
 
 class Vocabulary(dict):
@@ -80,15 +90,21 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
 
 def triple_counts(docs: DataFrame, text_col: str, words: Vocabulary) -> DataFrame:
     """(code, n) over all documents; code = (left * CLASSES + right) * CLASSES + token."""
+    return all_counts(docs, text_col, words).where("code >= 0")
+
+
+def all_counts(docs: DataFrame, text_col: str, words: Vocabulary) -> DataFrame:
+    """triple_counts, and as code -1 - trigram the letter trigrams of all words beyond the common ones."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[np.ndarray] = []
-        size = 0
+        letters: list[np.ndarray] = []
+        size = spelled = 0
 
-        def gathered() -> pd.DataFrame:
-            code, n = np.unique(np.concatenate(waiting or [np.empty(0, np.int64)]), return_counts=True)
-            waiting.clear()
-            return pd.DataFrame({"code": code, "n": n.astype(np.int64)})
+        def gathered(codes: list[np.ndarray]) -> pd.DataFrame:
+            code, n = np.unique(np.concatenate(codes or [np.empty(0, np.int64)]), return_counts=True)
+            codes.clear()
+            return pd.DataFrame({"code": code.astype(np.int64), "n": n.astype(np.int64)})
 
         for frame in frames:
             for t in frame["t"]:
@@ -96,10 +112,17 @@ def triple_counts(docs: DataFrame, text_col: str, words: Vocabulary) -> DataFram
                 if len(c):
                     waiting.append(coded(c))
                     size += len(c)
+                    rare = trigrams(uncommon(t, c))[0]
+                    letters.append(rare)
+                    spelled += len(rare)
+                if spelled >= 16 * FLUSH:
+                    yield gathered(letters).eval("code = -1 - code")
+                    spelled = 0
                 if size >= 16 * FLUSH:
-                    yield gathered()
+                    yield gathered(waiting)
                     size = 0
-        yield gathered()
+        yield gathered(letters).eval("code = -1 - code")
+        yield gathered(waiting)
 
     return docs.select(docs[text_col].alias("t")).mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -109,6 +132,57 @@ def coded(c: np.ndarray) -> np.ndarray:
     return (sides[:-2] * CLASSES + sides[2:]) * CLASSES + c
 
 
+def uncommon(text: str, c: np.ndarray) -> list[bytes]:
+    """The words of shared classes, in order."""
+    shared = (c >= CLASSES - SHARED).tolist()
+    return [w for w, s in zip(split(text), shared) if s]
+
+
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter trigrams of all words, each from before its first letter to its end; and where each word starts among them."""
+    if not words:
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    b = np.frombuffer(b"  " + b"  ".join(words) + b" ", np.uint8)
+    code = (b[:-2].astype(np.uint32) << 16) | (b[1:-1].astype(np.uint32) << 8) | b[2:]
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the end
+    return code[(b[1:-1] != END) | (b[2:] != END)], np.cumsum(length) - length
+
+
+class Spelling:
+    """log P(word | not a common word), letter by letter, each from the two before it."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, common: list[bytes]):
+        self.code, self.n, self.common = code, n, common
+        self.p: np.ndarray | None = None
+
+    def __reduce__(self):
+        return Spelling, (self.code, self.n, self.common)
+
+    def compiled(self) -> Spelling:
+        """With its table of log-probabilities."""
+        p = np.zeros((256, 256, 256), np.float32)
+        p.reshape(-1)[self.code] = self.n
+        two, can = p.sum(axis=0, dtype=np.float64), np.r_[LETTERS, END]
+        one = np.zeros(256)
+        one[can] = two.sum(axis=0)[can] + 1
+        two = (two + BACKOFF * one / one.sum()) / (two.sum(axis=1, keepdims=True) + BACKOFF)
+        seen = p.sum(axis=2, keepdims=True) + np.float32(BACKOFF)
+        p += (BACKOFF * two).astype(np.float32)
+        p /= seen
+        p[END, END, END] = 0  # a word has a letter
+        p[END, END] /= p[END, END].sum()
+        with np.errstate(divide="ignore"):
+            self.p = np.log(p, out=p).reshape(-1)
+        self.rest = 0.0
+        self.rest = float(np.log1p(-np.exp(self.each(self.common)).sum())) if self.common else 0.0
+        return self
+
+    def each(self, words: list[bytes]) -> np.ndarray:
+        """Log-probability of each word; that of the common words is dealt to the others."""
+        code, start = trigrams(words)
+        return np.add.reduceat(self.p[code].astype(np.float64), start) - self.rest if words else np.empty(0)
+
+
 class Network:
     """log P(token | left, right): two embeddings, a tanh layer, a softmax."""
 
@@ -182,39 +256,63 @@ class Network:
             out[start : start + 4096] = self.forward(np.arange(start, start + 4096))[2]
         return out.reshape(-1)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """table(), and the log-probability in every context that the token is none of the common words."""
+        table = self.table()
+        shared = table.reshape(CLASSES * CLASSES, CLASSES)[:, CLASSES - SHARED :]
+        return table, np.log(np.exp(shared).sum(axis=1))
+
+
+def steps_for(code: np.ndarray) -> int:
+    """Training steps that grow with the contexts found."""
+    return max(LEAST_STEPS, -(-DRAWS * len(np.unique(code // CLASSES)) // BATCH))
+
 
 def fit(docs: DataFrame, *, text_col: str) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of all documents. The driver holds at most CLASSES ** 3 counts."""
+    """Vocabulary and network of all documents. The driver holds at most CLASSES ** 3 counts, and those of letter trigrams."""
     words = vocabulary(docs, text_col)
-    counts = triple_counts(docs, text_col, words).toArrow()  # columns of numbers, not a row object for each cell
+    counts = all_counts(docs, text_col, words).toArrow()  # columns of numbers, not a row object for each cell
     code, n = counts["code"].to_numpy(), counts["n"].to_numpy()
     del counts
     net = Network()
-    net.train(code, n)
+    letter = code < 0
+    net.spelling = Spelling(-1 - code[letter], n[letter], words.common)
+    code, n = code[~letter], n[~letter]
+    net.train(code, n, steps=steps_for(code), batch=BATCH)
     return words, net
 
 
 def score(docs: DataFrame, words: Vocabulary, net: Network, *, text_col: str, carry: list[str]) -> DataFrame:
-    """carry columns, n_tokens, log_likelihood (sum) and mean_log_likelihood of every row.
+    """carry columns, n_tokens, sum and mean of the log-likelihood of the classes and of the words of every row.
 
-    A null text or one without a word has no token, sum 0 and a null mean.
+    A null text or one without a word has no token, sums 0 and null means.
     """
     kept = docs.select(*carry, docs[text_col].alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text") + ", n_tokens long, log_likelihood double, mean_log_likelihood double"
-    key = xxhash.xxh64_intdigest(b"".join(net.p[k].tobytes() for k in sorted(net.p)))
+    names = ["log_likelihood", "word_log_likelihood"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text") + ", n_tokens long" + "".join(f", {c} double, mean_{c} double" for c in names)
+    key = xxhash.xxh64_intdigest(b"".join(net.p[k].tobytes() for k in sorted(net.p)) + net.spelling.code.tobytes() + net.spelling.n.tobytes())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key not in _TABLE:
             _TABLE.clear()
-            _TABLE[key] = net.table()
-        table = _TABLE[key]
+            _TABLE[key] = (*net.tables(), net.spelling.compiled())
+        table, other, spelling = _TABLE[key]
         for frame in frames:
             out = []
             for t in frame.pop("__text"):
                 c = words.classes(t)
-                out.append((len(c), float(table[coded(c)].sum(dtype=np.float64)) if len(c) else 0.0))
-            n, total = np.array(out, float).reshape(-1, 2).T
-            mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
-            yield frame.assign(n_tokens=n.astype(np.int64), log_likelihood=total, mean_log_likelihood=pd.Series(mean, index=frame.index).astype(object).where(n > 0, None))
+                if not len(c):
+                    out.append((0, 0.0, 0.0))
+                    continue
+                code = coded(c)
+                z, shared = table[code], c >= CLASSES - SHARED
+                word = z[~shared].sum(dtype=np.float64) + other[code[shared] // CLASSES].sum(dtype=np.float64) + spelling.each(uncommon(t, c)).sum()
+                out.append((len(c), float(z.sum(dtype=np.float64)), float(word)))
+            n, *totals = np.array(out, float).reshape(-1, 3).T
+            frame = frame.assign(n_tokens=n.astype(np.int64))
+            for name, total in zip(names, totals):
+                mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+                frame[name], frame[f"mean_{name}"] = total, pd.Series(mean, index=frame.index).astype(object).where(n > 0, None)
+            yield frame
 
     return kept.mapInPandas(run, schema)

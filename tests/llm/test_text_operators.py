@@ -401,3 +401,40 @@ def test_odd_rows_of_scores(spark):
     empty = df.limit(0)
     words_, net = lmscore.fit(empty, text_col="text")
     assert lmscore.score(empty, words_, net, text_col="text", carry=["doc_id"]).count() == 0
+
+
+def test_words_of_one_class_score_by_their_spelling(spark):
+    rng = np.random.default_rng(3)
+    prose = ["".join(rng.choice(list("stnr")) + rng.choice(list("aeio")) for _ in range(4)) for _ in range(600)]
+    by_class = {}
+    for w in (bytes(x) for x in rng.integers(98, 123, (2000, 8), dtype=np.uint8)):
+        by_class.setdefault(lmscore.Vocabulary([])[w], w.decode())
+    words_, net = lmscore.fit(docs(spark, [(0, " ".join(sorted(set(prose))), "en", "s")]), text_col="text")
+    rare = [w for w in sorted(set(prose)) if w.encode() not in words_.common]
+    pairs = [(w, by_class[words_[w.encode()]]) for w in rare[:40] if words_[w.encode()] in by_class]
+    rows = [(2 * i + j, w, "en", "s") for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    got = {r["doc_id"]: r for r in lmscore.score(docs(spark, rows), words_, net, text_col="text", carry=["doc_id"]).collect()}
+    assert len(pairs) > 20
+    for i in range(len(pairs)):  # the same class, so the classes alone cannot tell them apart
+        assert got[2 * i]["log_likelihood"] == got[2 * i + 1]["log_likelihood"]
+        assert got[2 * i]["word_log_likelihood"] > got[2 * i + 1]["word_log_likelihood"] + 5
+
+
+def test_spelling_is_a_distribution():
+    seen = [b"ab", b"ba", b"abc", b"ab"]
+    code, n = np.unique(lmscore.trigrams(seen)[0], return_counts=True)
+    assert len(lmscore.trigrams(seen)[0]) == sum(len(w) + 1 for w in seen)
+    s = lmscore.Spelling(code, n, []).compiled()
+    p = np.exp(s.p.reshape(256, 256, 256)[:, lmscore.LETTERS])  # after a letter
+    assert p.sum(axis=2) == pytest.approx(np.ones(p.shape[:2]), abs=1e-4)
+    assert s.each([b"ab", b"zz"]) == pytest.approx([s.each([w])[0] for w in (b"ab", b"zz")])
+    step = lambda *x: s.p[(x[0] << 16) | (x[1] << 8) | x[2]]
+    assert s.each([b"ab"])[0] == pytest.approx(step(32, 32, 97) + step(32, 97, 98) + step(97, 98, 32), rel=1e-5)
+    less = lmscore.Spelling(code, n, [b"ab"]).compiled()
+    assert np.exp(less.each([b"ba"])[0]) == pytest.approx(np.exp(s.each([b"ba"])[0]) / (1 - np.exp(s.each([b"ab"])[0])), rel=1e-4)
+
+
+def test_training_grows_with_the_contexts():
+    assert lmscore.steps_for(np.arange(10) * lmscore.CLASSES) == lmscore.LEAST_STEPS
+    many = 50_000
+    assert lmscore.steps_for(np.arange(many) * lmscore.CLASSES) * lmscore.BATCH >= lmscore.DRAWS * many
