@@ -294,7 +294,15 @@ def format_bytes(spark, sf):
 
 @query("revision_assignment", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 5000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS revision FROM lineitem WHERE l_quantity < 10")
 def revision_assignment(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity < 10")
+    return _numbered(table(spark, sf, "lineitem").where("l_quantity < 10"))
+
+
+@query("revision_assignment_all", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 5000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS revision FROM lineitem")
+def revision_assignment_all(spark, sf):
+    return _numbered(table(spark, sf, "lineitem"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
     return order.number_rows(rows.select(*keys), keys, "revision", 5001).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "revision")
 

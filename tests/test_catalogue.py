@@ -43,3 +43,8 @@ def test_entry_is_the_current_state(spark):
     assert e.entry(spark).columns == ["c0", "c1", "revision", "event_type", "value"]
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_lineitem_gets_a_revision(spark, sf):
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert sorted(r["revision"] for r in QUERIES["revision_assignment_all"](spark, sf).collect()) == list(range(5001, 5001 + n))
