@@ -168,6 +168,7 @@ def _sql_hilbert(source: str, dims: int, bits: int, out: str) -> str:
 
 PT_POINTS = "SELECT DISTINCT CAST(p_size AS BIGINT) AS x0, CAST(substr(p_brand, 7) AS BIGINT) AS x1 FROM part"
 LI_POINTS = "SELECT DISTINCT l_partkey AS x0, l_suppkey AS x1, CAST(l_quantity AS BIGINT) AS x2 FROM lineitem WHERE l_linenumber = 1"
+ALL_LI_POINTS = "SELECT DISTINCT l_partkey AS x0, l_suppkey AS x1, CAST(l_quantity AS BIGINT) AS x2 FROM lineitem"
 PT_KEYED = "SELECT o0 AS c0, o1 AS c1, hkey FROM keyed"
 
 
@@ -182,8 +183,16 @@ def hilbert_encode_2d(spark, sf):
 
 @query("hilbert_encode_3d", _sql_hilbert(LI_POINTS, 3, 8, "SELECT o0 AS c0, o1 AS c1, o2 AS c2, hkey FROM keyed"))
 def hilbert_encode_3d(spark, sf):
-    pts = lineitems(spark, sf).where("line = 1").select(*LI_KEY).distinct()
-    return pts.withColumn("hkey", hilbert_key([F.col(c) for c in LI_KEY], 8))
+    return _li_keys(lineitems(spark, sf).where("line = 1"))
+
+
+@query("hilbert_encode_3d_all", _sql_hilbert(ALL_LI_POINTS, 3, 8, "SELECT o0 AS c0, o1 AS c1, o2 AS c2, hkey FROM keyed"))
+def hilbert_encode_3d_all(spark, sf):
+    return _li_keys(lineitems(spark, sf))
+
+
+def _li_keys(rows: DataFrame) -> DataFrame:
+    return rows.select(*LI_KEY).distinct().withColumn("hkey", hilbert_key([F.col(c) for c in LI_KEY], 8))
 
 
 @query("hilbert_decode_2d", _sql_hilbert(PT_POINTS, 2, 8, "SELECT hkey, o0 AS d0, o1 AS d1 FROM keyed"))

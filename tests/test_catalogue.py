@@ -48,3 +48,8 @@ def test_entry_is_the_current_state(spark):
 def test_every_lineitem_gets_a_revision(spark, sf):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert sorted(r["revision"] for r in QUERIES["revision_assignment_all"](spark, sf).collect()) == list(range(5001, 5001 + n))
+
+
+def test_every_lineitem_point_gets_a_key(spark, sf):
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_partkey", "l_suppkey", "l_quantity").distinct().count()
+    assert QUERIES["hilbert_encode_3d_all"](spark, sf).count() == n
