@@ -23,6 +23,8 @@ SHOWN = ["c0", "c1", "revision", "event_type", "value"]
 SHOWN_SQL = ", ".join(SHOWN)
 LIVE = "SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY revision DESC) AS rn FROM ev"
 AS_OF = 700
+#: Hundredths of the largest revision: of the as-of reads beside those at AS_OF, and of a fork.
+AS_OF_SHARE, FORKED = 70, 30
 
 
 def query(name: str, sql: str | None):
@@ -38,8 +40,8 @@ def query(name: str, sql: str | None):
 # ---- scans
 
 @query("scan_versions_asof", f"WITH {EV} SELECT {SHOWN_SQL} FROM ev WHERE revision <= {AS_OF} AND NOT tombstone")
-def scan_versions_asof(spark, sf):
-    return scan.scan_versions(events(spark, sf), AS_OF).select(*SHOWN)
+def scan_versions_asof(spark, sf, as_of=AS_OF):
+    return scan.scan_versions(events(spark, sf), as_of).select(*SHOWN)
 
 
 @query("scan_live_latest", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT tombstone")
@@ -48,13 +50,13 @@ def scan_live_latest(spark, sf):
 
 
 @query("scan_live_asof", f"WITH {EV}, l AS ({LIVE} WHERE revision <= {AS_OF}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT tombstone")
-def scan_live_asof(spark, sf):
-    return scan.scan_live(events(spark, sf), EV_KEY, AS_OF).select(*SHOWN)
+def scan_live_asof(spark, sf, as_of=AS_OF):
+    return scan.scan_live(events(spark, sf), EV_KEY, as_of).select(*SHOWN)
 
 
 @query("scan_include_tombstones", f"WITH {EV} SELECT {SHOWN_SQL}, tombstone FROM ev WHERE revision <= {AS_OF}")
-def scan_include_tombstones(spark, sf):
-    return scan.scan_versions(events(spark, sf), AS_OF, tombstones=True).select(*SHOWN, "tombstone")
+def scan_include_tombstones(spark, sf, as_of=AS_OF):
+    return scan.scan_versions(events(spark, sf), as_of, tombstones=True).select(*SHOWN, "tombstone")
 
 
 @query("scan_live_with_tombstones", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL}, tombstone FROM l WHERE rn = 1")
@@ -63,8 +65,8 @@ def scan_live_with_tombstones(spark, sf):
 
 
 @query("scan_buffered_antijoin", f"WITH {EV} SELECT {SHOWN_SQL} FROM ev e WHERE NOT tombstone AND revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM ev t WHERE t.tombstone AND t.revision <= {AS_OF} AND t.c0 = e.c0 AND t.c1 = e.c1)")
-def scan_buffered_antijoin(spark, sf):
-    return scan.scan_buffered(events(spark, sf), EV_KEY, AS_OF).select(*SHOWN)
+def scan_buffered_antijoin(spark, sf, as_of=AS_OF):
+    return scan.scan_buffered(events(spark, sf), EV_KEY, as_of).select(*SHOWN)
 
 
 @query("scan_faithful_sealed_buffer", f"WITH {STATE} SELECT {SHOWN_SQL} FROM st e WHERE NOT tombstone AND NOT EXISTS (SELECT 1 FROM st t WHERE t.tombstone AND t.state = 'buffered' AND t.c0 = e.c0 AND t.c1 = e.c1)")
@@ -86,8 +88,8 @@ def bbox_3d(spark, sf):
 
 
 @query("bbox_asof_live", f"WITH {EV}, l AS ({LIVE} WHERE revision <= {AS_OF} AND c0 BETWEEN 0 AND 40 AND c1 BETWEEN 0 AND 11) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT tombstone")
-def bbox_asof_live(spark, sf):
-    return scan.scan_live(events(spark, sf).where(scan.within(EV_KEY, (0, 0), (40, 11))), EV_KEY, AS_OF).select(*SHOWN)
+def bbox_asof_live(spark, sf, as_of=AS_OF):
+    return scan.scan_live(events(spark, sf).where(scan.within(EV_KEY, (0, 0), (40, 11))), EV_KEY, as_of).select(*SHOWN)
 
 
 @query("subscope_parent", "SELECT l_orderkey AS c0, CAST(l_linenumber AS BIGINT) AS c1, l_partkey AS part, l_quantity FROM lineitem WHERE l_orderkey = 3")
@@ -352,8 +354,8 @@ def block_fill_factor(spark, sf):
 
 
 @query("block_has_live_at", f"WITH {EV} SELECT block_id, bool_or(revision <= {AS_OF} AND NOT tombstone) AS has_live FROM ev GROUP BY block_id")
-def block_has_live_at(spark, sf):
-    return blocks.has_live_at(events(spark, sf), AS_OF)
+def block_has_live_at(spark, sf, as_of=AS_OF):
+    return blocks.has_live_at(events(spark, sf), as_of)
 
 
 @query("block_min_key", f"WITH {EV} SELECT block_id, min((c0 & 255) * 256 + (c1 & 255)) AS first_key FROM ev GROUP BY block_id")
@@ -558,6 +560,12 @@ def lww_conflict_stale(spark, sf):
     return outbox.stale(pending, st.where("state = 'buffered'").select("c0", "c1", "revision"), EV_KEY)
 
 
+@query("lww_conflict_stale_all", f"WITH {STATE}, r AS (SELECT c0, c1, max(revision) AS remote_revision FROM st WHERE state = 'buffered' GROUP BY c0, c1) SELECT s.c0, s.c1, s.revision, r.remote_revision FROM st s JOIN r ON r.c0 = s.c0 AND r.c1 = s.c1 WHERE s.state = 'sealed' AND r.remote_revision > s.revision")
+def lww_conflict_stale_all(spark, sf):
+    st = event_state(spark, sf).select("c0", "c1", "revision", "state")
+    return outbox.stale(st.where("state = 'sealed'").drop("state"), st.where("state = 'buffered'").drop("state"), EV_KEY)
+
+
 # ---- catalogs
 
 SPACE_ROWS = [(1, "events", 2), (2, "lineitem", 3), (3, "lines", 2), (4, "parts", 2)]
@@ -597,6 +605,33 @@ def branch_read_at_fork(spark, sf):
     return read_branch(ev, ev.where("revision BETWEEN 301 AND 900 AND revision % 9 = 0"), EV_KEY, forked_at=300).select("c0", "c1", "revision")
 
 
+FORKED_SQL = f"(SELECT {FORKED} * max(revision) // 100 FROM ev)"
+
+
+@query("branch_read_at_fork_all", f"WITH {EV}, u AS (SELECT c0, c1, revision, tombstone FROM ev WHERE revision <= {FORKED_SQL} UNION ALL SELECT c0, c1, revision, tombstone FROM ev WHERE revision > {FORKED_SQL}), l AS (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY revision DESC) AS rn FROM u) SELECT c0, c1, revision FROM l WHERE rn = 1 AND NOT tombstone")
+def branch_read_at_fork_all(spark, sf):
+    from gridlore.operators.branch import read_branch
+
+    ev = events(spark, sf).select("c0", "c1", "revision", "tombstone")
+    fork = _revision_at(ev, FORKED)
+    return read_branch(ev, ev.where(F.col("revision") > fork), EV_KEY, forked_at=fork).select("c0", "c1", "revision")
+
+
+def _revision_at(versions: DataFrame, share: int) -> int:
+    """The revision at so many hundredths of the largest one."""
+    return share * (versions.agg(F.max("revision")).first()[0] or 0) // 100
+
+
+def _at_share(read: Callable[..., DataFrame]) -> None:
+    """Registers an as-of query also at a share of the revisions, whatever the size of the table."""
+    sql = ORACLES[read.__name__].replace(f"<= {AS_OF}", f"<= (SELECT {AS_OF_SHARE} * max(revision) // 100 FROM ev)")
+    query(f"{read.__name__}_share", sql)(lambda spark, sf: read(spark, sf, _revision_at(events(spark, sf), AS_OF_SHARE)))
+
+
+for _read in (scan_versions_asof, scan_live_asof, scan_include_tombstones, scan_buffered_antijoin, bbox_asof_live, block_has_live_at):
+    _at_share(_read)
+
+
 # ---- streams; what they leave is compared as a batch
 
 @query("stream_latest_state", f"WITH {EV}, l AS ({LIVE}) SELECT c0, c1, revision FROM l WHERE rn = 1 AND NOT tombstone")
