@@ -5,6 +5,10 @@ inside texts. Prefix sums of turn tokens choose spans of whole turns that fit a
 starts with the conversation's system turn and a limited run of turns already seen, which are masked, so
 each assistant text is a training target exactly once.
 
+A window never exceeds the budget unless one turn alone does. Before a turn that does not fit, the window
+under way is closed; where the repeated head and the turn together are too large, the oldest repeated turns
+go first, then the system turn.
+
 A conversation's turns pass through one task in order, as a stream: memory holds one window and the
 repeated history, whatever the length of the conversation.
 """
@@ -78,36 +82,42 @@ class Windows:
         self.system: tuple | None = None
         self.past: list[tuple] = []  # (prefix sum at the turn's end, tokens, rendered, start, end, target)
         self.new: list[tuple] = []
-        self.sum = self.count = self.turns = 0
+        self.head: list[tuple] = []  # the repeated turns of the window under way
+        self.used = self.sum = self.count = self.turns = 0
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
         out, start, end = render(role, text)
         n = self.tokens(out)
-        if self.new and self.used() + n > self.budget:
+        if self.new and self.used + n > self.budget:
             yield self.close()
+        if not self.new:
+            self.open(n)
         self.sum += n
+        self.used += n
         self.new.append((self.sum, n, out, start, end, role == "assistant"))
         if not self.turns and role == "system":
             self.system = self.new[0]
         self.turns += 1
 
-    def head(self) -> list[tuple]:
-        """The repeated turns of the window under way."""
-        system = [self.system] if self.system and self.count else []
-        return system + self.past
-
-    def used(self) -> int:
-        return sum(t[1] for t in self.head()) + self.new[-1][0] - self.new[0][0] + self.new[0][1]
+    def open(self, n: int) -> None:
+        """A window whose head leaves room for a first new turn of ``n`` tokens, where any head does."""
+        room = self.budget - n
+        system = [self.system] if self.system and self.count and self.system[1] <= room else []
+        room -= sum(t[1] for t in system)
+        past = self.past
+        while past and self.sum - past[0][0] + past[0][1] > room:
+            past = past[1:]
+        self.head = system + past
+        self.used = sum(t[1] for t in self.head)
 
     def close(self) -> tuple:
         parts, loss, at = [], [], 0
-        head = self.head()
-        for i, (_, _, out, start, end, target) in enumerate(head + self.new):
-            if target and i >= len(head):
+        for i, (_, _, out, start, end, target) in enumerate(self.head + self.new):
+            if target and i >= len(self.head):
                 loss.append({"start": at + start, "end": at + end})
             parts.append(out)
             at += len(out)
-        row = (self.conv, self.count, "".join(parts), len(head), loss)
+        row = (self.conv, self.count, "".join(parts), len(self.head), loss)
         # the longest run of whole turns up to here, within the history's tokens
         seen = [t for t in self.past + self.new if t is not self.system]
         self.past = [t for t in seen if self.sum - t[0] + t[1] <= self.history]
@@ -121,7 +131,7 @@ def format_conversations(turns: DataFrame, *, budget: int = 8192, history: int =
     ``repeated`` leading turns of a window were given before and are masked; ``loss`` has the character
     spans of new assistant texts. Rows of a conversation go by turn, nulls first, then role and text; null
     texts and roles are empty; a null conv_id is a conversation of its own; a turn larger than the budget
-    gets a window of its own. An empty table gives no window. Other columns are ignored.
+    gets a window of its own, without repeats. An empty table gives no window. Other columns are ignored.
     """
     ordered = (
         turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

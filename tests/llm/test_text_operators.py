@@ -296,6 +296,28 @@ def test_windows_hold_budget_history_and_mask(spark):
     assert new == [(r, t) for _, _, r, t in turns[:-1]]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool"]), st.integers(0, 130)), max_size=25), st.integers(20, 120), st.integers(0, 90))
+def test_no_window_exceeds_its_budget(turns, budget, history):
+    at, rows, fed = chat.Windows(1, budget, history, chat.byte_tokens), [], []
+    for role, n in turns:
+        fed.append((role, "y" * n))
+        rows.extend(at.add(*fed[-1]))
+    if turns:
+        rows.append(at.close())
+    new = []
+    for _, k, text, repeated, loss in rows:
+        parsed = list(chat.parse(text))
+        assert chat.byte_tokens(text) <= budget or len(parsed) == 1
+        before = ([fed[0]] if k and fed[0][0] == "system" else []) + new
+        system = 1 if repeated and parsed[0] == before[0] and fed[0][0] == "system" else 0
+        history_part = parsed[system:repeated]
+        assert history_part == new[len(new) - len(history_part) :] and sum(len(chat.render(*t)[0]) for t in history_part) <= history
+        assert [text[x["start"] : x["end"]] for x in loss] == [t for role, t in parsed[repeated:] if role == "assistant"]
+        new += parsed[repeated:]
+    assert new == fed
+
+
 def test_odd_conversations(spark):
     rows = [(None, 0, "user", "a"), (1, 1, None, None), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (2, None, "tool", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
