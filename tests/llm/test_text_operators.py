@@ -3,6 +3,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -336,36 +337,107 @@ def test_op8_finds_every_verbatim_item(spark, sf):
     assert {(r["doc_id"], r["item_id"]) for r in q_decontam.query(spark, sf).collect()} == want
 
 
-def test_wand_equals_scoring_everything(sf, spark):
-    index = decontam.Index([(r["item_id"], r["text"]) for r in table_rows(spark, sf, "benchmark")])
+def index_of(texts):
+    return decontam.Index([(str(i), t) for i, t in enumerate(texts)], decontam.Corpus.of(texts))
+
+
+def dense(index):
+    """Terms x items, and terms x blocks, of what the index holds."""
     weights = np.zeros((len(index.terms), len(index.ids)))
-    for t, (at, x) in enumerate(index.postings):
+    for t in range(len(index.terms)):
+        at, x = index.postings(t)
         weights[t, at] = x
+    padded = np.pad(weights, ((0, 0), (0, index.blocks * decontam.BLOCK - len(index.ids))))
+    return weights, padded.reshape(len(index.terms), index.blocks, decontam.BLOCK).max(axis=2)
+
+
+def test_wand_equals_scoring_everything(sf, spark):
+    index = index_of([r["text"] for r in table_rows(spark, sf, "benchmark")])
+    weights, blocks = dense(index)
     assert np.allclose(weights.sum(axis=0), 1)
     rnd = random.Random(1)
     for _ in range(200):
-        terms, threshold = rnd.sample(range(len(index.terms)), rnd.randint(1, 150)), rnd.choice([0.05, 0.2, 0.4])
+        terms, threshold = sorted(rnd.sample(range(len(index.terms)), rnd.randint(1, 150))), rnd.choice([0.05, 0.2, 0.4])
         scores = weights[terms].sum(axis=0)
-        got = dict(index.search(terms, threshold))
-        assert set(got) == set(np.flatnonzero(scores >= threshold - 1e-6)) and all(abs(scores[i] - s) < 1e-9 for i, s in got.items())
-        bound = index.bounds(np.zeros(len(terms), int), np.array(sorted(terms)), 1)
-        assert bound[0] >= scores.max() - 1e-5
-
-
-def test_leaks_across_passages_and_odd_rows(spark, monkeypatch):
+        live = index.live(np.zeros(len(terms), int), np.array(terms), 1, threshold)
+        assert set(np.flatnonzero(blocks[terms].sum(axis=0) >= threshold)) <= set(live)  # no block is lost
+        for given in (None, live.tolist()):
+            got = dict(index.search(terms, threshold, given))
+            assert set(got) == set(np.flatnonzero(scores >= threshold - 1e-6)) and all(abs(scores[i] - s) < 1e-9 for i, s in got.items())
+
+
+def brute_hits(text, index, threshold=decontam.THRESHOLD, overlap=decontam.OVERLAP):
+    """Every item scored against every passage."""
+    weights, _ = dense(index)
+    w, out = decontam.normal_words(text or ""), {}
+    stride = max(decontam.LEAST_PASSAGE // 2, index.longest)
+    for p in range(max(1, -(-len(w) // stride) - 1) if w else 0):
+        small = w[p * stride : (p + 2) * stride]
+        scores = weights[sorted({index.terms[x] for x in small if x in index.terms})].sum(axis=0)
+        for d in np.flatnonzero(scores >= threshold - 1e-6):
+            q, a = (index._overlap(part, decontam.grams(small), small) for part in index.parts[d])
+            if q >= overlap and a >= overlap and (d not in out or scores[d] > out[d][1] + 1e-9):
+                out[d] = (p, scores[d], q, a)
+    return {(index.ids[d], p): (pytest.approx(min(s, 1.0)), q, a) for d, (p, s, q, a) in out.items()}
+
+
+def test_hits_equal_brute_force_over_passages():
+    rnd = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(300)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 40))) + rnd.choice(["", ". " + " ".join(rnd.choices(vocabulary, k=3))]) for _ in range(60)]
+    index = index_of(texts)
+    for _ in range(40):
+        parts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(0, 400))) for _ in range(3)]
+        for _ in range(2):
+            leak = decontam.normal_words(rnd.choice(texts))
+            for _ in range(rnd.randint(0, 4)):
+                leak[rnd.randrange(len(leak))] = rnd.choice(vocabulary)
+            parts.insert(rnd.randrange(len(parts) + 1), " ".join(leak))
+        text = " ".join(parts)
+        got = index.hits(text, decontam.THRESHOLD, decontam.OVERLAP)
+        assert {(i, p): (s, q, a) for i, p, s, q, a in got} == brute_hits(text, index)
+
+
+def test_long_texts_are_searched_in_proportion(sf, spark):
+    index = index_of([r["text"] for r in table_rows(spark, sf, "benchmark")])
+    text = " ".join(r["text"] for r in table_rows(spark, sf, "documents"))
+    words_ = text.split()
+
+    def seconds(n):
+        given, began = " ".join((words_ * (1 + n // len(words_)))[:n]), time.process_time()
+        index.hits(given, decontam.THRESHOLD, decontam.OVERLAP)
+        return time.process_time() - began
+
+    seconds(20_000)
+    assert seconds(400_000) < 4 * 4 * seconds(100_000)
+
+
+def test_leaks_across_passages_and_odd_rows(spark):
     item = "What colour is the quick brown fox that jumps over lazy dogs? It is brown as the name says."
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item), (5, "short one")], "item_id long, text string")
+    items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, item, 0), (5, "short one", 0), (None, "null key of an item", 0)], "item_id long, text string, passage int")
     pad = [f"filler{i}" for i in range(700)]
     rows = [(i, " ".join(pad[: 20 * i]) + " " + item.upper() + " " + " ".join(pad), "en", "x") for i in range(12)]
-    rows += [(50, "What colour is the quick brown fox that jumps over lazy dogs? Nobody knows.", "en", "x"), *[(None if i is None else i + 100, t, la, s) for i, t, la, s in ODD], (99, "a short one here", "en", "x")]
-    for most in (2000, 1):
-        monkeypatch.setattr(decontam, "MAX_ITEMS", most)
-        got = Counter((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows), items).collect())
-        assert got == Counter({(i, k): 1 for i in range(12) for k in (1, 4)} | {(99, 5): 1})
+    rows += [(50, "What colour is the quick brown fox that jumps over lazy dogs? Nobody knows.", "en", "x"), *[(None if i is None else i + 100, t, la, s) for i, t, la, s in ODD], (99, "a short one here", "en", "x"), (98, "a null key of an item", "en", "x")]
+    clash = docs(spark, rows).withColumns({"key": F.lit(1), "id": F.lit(2), "item_id": F.lit("clash"), "score": F.lit(None).cast("string")})
+    for most in (decontam.MAX_POSTINGS, 5):
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontam.contaminated(clash, items, most=most).collect())
+        assert got == Counter({(i, k): 1 for i in range(12) for k in (1, 4)} | {(99, 5): 1, (98, None): 1})
     assert decontam.contaminated(docs(spark, rows), items.limit(0)).count() == 0
     assert decontam.contaminated(docs(spark, rows).limit(0), items).count() == 0
 
 
+def test_any_number_of_index_parts_gives_the_same_scores(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"t{int(rnd.paretovariate(0.6)) % 4000}" for _ in range(5000)]
+    made = [" ".join(rnd.choices(vocabulary, k=rnd.randint(8, 30))) + "? " + " ".join(rnd.choices(vocabulary, k=4)) for _ in range(2100)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(made)] + [(5000, made[0])], "item_id long, text string")
+    rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 200)) + made[7 * i].split()[:-2] + rnd.choices(vocabulary, k=90)), "en", "x") for i in range(120)]
+    results = []
+    for most in (decontam.MAX_POSTINGS, 12_000):
+        results.append(sorted(tuple(r) for r in decontam.contaminated(docs(spark, rows), items, most=most, overlap=0.5).collect()))
+    assert results[0] == results[1] and len(results[0]) > 50
+
+
 # ---- language model
 
 def test_gradients_are_right():
