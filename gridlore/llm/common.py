@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 from gridlore.storage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut", "n_words", "seeded", "table", "without_ids"]
+__all__ = ["carried", "checkpoint_dir", "cut", "hot_join", "n_words", "quoted", "seeded", "table", "without_keys"]
 
 #: A word is a maximal run of characters outside space and \t \n \v \f \r.
-SEPARATORS = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
 def n_words(text: Column) -> Column:
-    """Number of words, without building the filtered array; 0 for null."""
-    count = lambda c: c.cast("long")
-    leading, trailing = text.rlike(r"^[\x20\x09-\x0D]"), text.rlike(r"[\x20\x09-\x0D]\z")
-    # pieces between separators, less the empty ones at the ends
-    pieces = count(F.size(F.split(text, SEPARATORS, -1))) - count(leading) - count(trailing)
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(count(F.lit(0)))
+    """Number of words; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, names: list[str], made: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns of ``df`` under internal names c0, c1, ..., and the way back to their own.
+
+    Internal work then meets no column of the same name. A column named like one of ``made``, the columns
+    that an operator adds, gives way to it.
+    """
+    taken = {m.lower() for m in made}
+    keep = [c for c in dict.fromkeys(names) if c.lower() not in taken]
+    return [df[quoted(c)].alias(f"c{i}") for i, c in enumerate(keep)], [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
 
 
 def seeded(seed: int, *cols: Column) -> Column:
@@ -32,13 +43,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Most ids that are broadcast to drop rows (a long each); more are joined by shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+#: Most keys that are broadcast to drop rows (at most 50 bytes each); more are joined by shuffle.
+MAX_BROADCAST_KEYS = 500_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is not in the one-column table ``ids``; rows of null id stay."""
-    gone = cut(ids.toDF("__gone").where("__gone IS NOT NULL").distinct())
-    if gone.count() <= MAX_BROADCAST_IDS:
+def without_keys(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``docs`` whose columns ``on`` equal, nulls as values, no row of ``gone``."""
+    gone = cut(gone.distinct().toDF(*[f"__gone{i}" for i in range(len(on))]))
+    if gone.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    same = [docs[quoted(c)].eqNullSafe(gone[f"__gone{i}"]) for i, c in enumerate(on)]
+    return docs.join(gone, same, "left_anti")
+
+
+#: A key with more than this share of the rows of a join, and this many, is hot.
+HOT_SHARE, HOT_ROWS = 1 / 256, 1024
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``many`` joined with ``one``, which has one narrow row for each ``key`` and the number of its rows in ``many`` as ``m``.
+
+    Rows of hot keys do not meet in one task: there are at most 256 such keys, whose rows of ``one`` are
+    broadcast. The others are joined by shuffle.
+    """
+    total = F.broadcast(one.agg(F.greatest(F.sum("m") * HOT_SHARE, F.lit(HOT_ROWS)).alias("__bound")))
+    judged = one.crossJoin(total).withColumn("__hot", F.col("m") > F.col("__bound")).drop("m", "__bound")
+    hot, one = F.broadcast(judged.where("__hot").drop("__hot")), judged.where("NOT __hot").drop("__hot")
+    return many.join(hot.select(key), key, "left_anti").join(one, key).unionByName(many.join(hot, key))

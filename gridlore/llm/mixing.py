@@ -6,7 +6,8 @@ of tokens, entropy balancing takes those closest to one copy each in relative en
 dual; it is separable by source, and Newton's method with a bracket solves all sources at once, each
 iteration one aggregation over the table of (source, size, number of documents), which is exact and far
 smaller than the corpus. Rates become whole copies by systematic rounding along sizes, and what remains of
-a source's target is settled on its small documents.
+a source's target is settled on its small documents. Which documents of a cell get the extra copies is decided
+by one threshold on a hash, so the documents themselves are not sorted or moved.
 
 Sums of floating point terms are taken as integers of 2^-10 tokens, so reruns agree in any task order.
 Native DataFrame operations only.
@@ -19,10 +20,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import cut, n_words, seeded
+from gridlore.llm.common import carried, cut, n_words, seeded
 
 #: Documents of one source and size are told apart in this many parts, so that a large group of copies is split.
 PARTS = 64
+#: Most (source, size) cells that are broadcast (about 60 bytes each); more are joined by shuffle, by cell and part.
+MAX_BROADCAST_CELLS = 300_000
 SCALE = 1024.0
 MAX_ITERATIONS = 60
 TOLERANCE = 1e-7
@@ -75,8 +78,8 @@ def solve_dual(cells: DataFrame, targets: DataFrame, max_rate: float) -> DataFra
     tilt = F.exp(F.least(F.col("lam") * z, F.lit(LN(max_rate))))
     mass = F.col("n") * F.col("size") * tilt
     for _ in range(MAX_ITERATIONS):
-        if not state.where(~F.col("done")).limit(1).count():
-            break
+        if state.where(~F.col("done")).isEmpty():
+            return state
         sums = (
             cells.where("size > 0").join(state.where(~F.col("done")).select("skey", "lam", "mean"), "skey")
             .groupBy("skey")
@@ -97,30 +100,36 @@ def solve_dual(cells: DataFrame, targets: DataFrame, max_rate: float) -> DataFra
                 F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), F.col("over").alias("done"),
             )
         )
-    return state
+    raise RuntimeError(f"the dual did not settle in {MAX_ITERATIONS} iterations")
 
 
-def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", key: list[str], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_rate: float = 2.0, seed: int = 11, statistics_of: DataFrame | None = None) -> DataFrame:
-    """All rows of ``docs`` plus size, source_size, target, rate, copies and taken (copies times size).
+#: What mix() adds.
+MADE = ["size", "source_size", "target", "rate", "copies", "taken"]
 
-    Null texts and texts without a word have size 0, rate 1 and one copy, which takes nothing. Rows equal
-    in all ``key`` columns are interchangeable. A null source is a source of its own. Every source's taken
-    tokens end within a small document of its target. An empty table gives an empty result.
-    ``statistics_of`` may give the same rows in a cheaper form (already sized, with ``__size``).
-    """
-    made = ["size", "source_size", "target", "rate", "copies", "taken"]
 
-    def keyed(df: DataFrame) -> DataFrame:
-        size = F.col("__size") if "__size" in df.columns else n_words(F.col(text_col))
-        skey = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
-        h = seeded(seed, *[F.col(c) for c in key])
-        return df.withColumns({"__size": size, "skey": skey, "__h": h}).withColumn("__part", F.pmod("__h", F.lit(PARTS)).cast("int"))
+def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", key: list[str], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_rate: float = 2.0, seed: int = 11, size_col: str | None = None, stable: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` plus size, source_size, target, rate, copies and taken (copies times size).
+
+    Null texts and texts without a word have size 0, rate 1 and one copy, which takes nothing. A null source
+    is a source of its own. Every source's taken tokens end within a small document of its target; no row
+    gets more than ``max_rate`` copies. Repeated rows are separate rows. An empty table gives an empty
+    result. Columns named like one of the six are replaced, any other name is kept.
 
-    rows = keyed(docs.drop(*made))
-    stats = rows if statistics_of is None else keyed(statistics_of)
-    parts = cut(stats.groupBy("skey", F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__part").alias("part")).agg(F.count("*").alias("m")))
+    ``key`` columns order the rows of one source and size by a hash, ties by their place in the input.
+    ``size_col`` names a column of sizes already counted. ``stable`` says that rows keep their places when
+    a task is run again (files or a checkpoint, no shuffle after them); else they are checkpointed first.
+    """
+    inner, back = carried(docs, docs.columns, MADE)
+    size = F.col(size_col) if size_col else n_words(docs[text_col])
+    skey = F.coalesce(F.concat(F.lit("s"), docs[source_col]), F.lit("n"))
+    h = seeded(seed, *[docs[c] for c in key])
+    rows = docs.select(*inner, size.alias("w"), skey.alias("skey"), seeded(seed + 1, h).alias("h"))
+    rows = (rows if stable else cut(rows)).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
+    # the texts are read once for the statistics; what these need of a row is small
+    narrow = cut(rows.select("skey", "w", "part", "h", "at"))
+    parts = cut(narrow.groupBy("skey", F.col("w").alias("size"), "part").agg(F.count("*").alias("m")))
     cells = cut(parts.groupBy("skey", "size").agg(F.sum("m").alias("n")))
-    totals = parts.groupBy("skey", "source").agg(F.sum(F.col("m") * F.col("size")).alias("total"))
+    totals = cells.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("total")).withColumn("source", F.when(F.col("skey") != "n", F.substring("skey", 2, 1 << 30)))
     targets = cut(source_targets(totals, weights, share, max_rate).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
     state = solve_dual(cells, targets.drop("source"), max_rate)
 
@@ -137,19 +146,19 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     settled = first.withColumn("gap", gap).withColumn("spare", spare.cast("long")).withColumn("before", F.coalesce(F.sum(F.col("spare") * F.col("size")).over(up), F.lit(0).cast("long")))
     fix = F.when((F.col("size") > 0) & (F.col("before") < F.abs("gap")), F.least(F.col("spare"), F.floor((F.abs("gap") - F.col("before")) / F.greatest(F.col("size"), F.lit(1))).cast("long"))).otherwise(0)
     whole = settled.withColumn("k", F.col("k") + F.signum(F.col("gap").cast("double")).cast("long") * fix)
-    by_cell = whole.select("skey", "size", "source_size", "target", "rate", F.floor(F.col("k") / F.col("n")).alias("base"), (F.col("k") % F.col("n")).alias("extra"))
+    by_cell = cut(whole.select("skey", "size", "source_size", "target", "rate", F.floor(F.col("k") / F.col("n")).alias("base"), (F.col("k") % F.col("n")).alias("extra")))
+    # extra copies go to whole parts of a cell in turn; within the part where they end, to its first rows by (h, at)
     in_cell = Window.partitionBy("skey", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    share_out = (
-        parts.select("skey", "size", "part", "m").withColumn("prior", F.coalesce(F.sum("m").over(in_cell), F.lit(0).cast("long")))
-        .join(by_cell, ["skey", "size"])
-        .select("skey", "size", "part", "source_size", "target", "rate", "base", F.greatest(F.lit(0).cast("long"), F.least(F.col("m"), F.col("extra") - F.col("prior"))).alias("extra"))
-    )
-    plan = share_out.withColumnsRenamed({"size": "__size", "part": "__part"})
-    rank = F.row_number().over(Window.partitionBy("skey", "__size", "__part").orderBy(seeded(seed + 1, F.col("__h")), "__h"))
-    copies = (F.col("base") + (F.col("__rank") <= F.col("extra")).cast("long")).cast("long")
-    return (
-        rows.join(plan, ["skey", "__size", "__part"]).withColumn("__rank", rank).withColumn("copies", copies)
-        .withColumn("taken", F.col("copies") * F.col("__size"))
-        .withColumnRenamed("__size", "size")
-        .drop("skey", "__part", "__h", "__rank", "base", "extra")
-    )
+    prior = parts.withColumn("prior", F.coalesce(F.sum("m").over(in_cell), F.lit(0).cast("long"))).join(by_cell.select("skey", "size", "extra"), ["skey", "size"])
+    ends = prior.where((F.col("prior") < F.col("extra")) & (F.col("extra") <= F.col("prior") + F.col("m"))).select("skey", F.col("size").alias("w"), "part", (F.col("extra") - F.col("prior")).alias("here"))
+    rank = F.row_number().over(Window.partitionBy("skey", "w", "part").orderBy("h", "at"))
+    last = narrow.join(ends, ["skey", "w", "part"]).withColumn("rank", rank).where(F.col("rank") == F.col("here")).select("skey", F.col("w").alias("size"), F.struct("part", "h", "at").alias("last"))
+    plan = cut(by_cell.drop("extra").join(last, ["skey", "size"], "left").withColumnRenamed("size", "w"))
+    on = ["skey", "w"]
+    if plan.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
+        plan = F.broadcast(plan)
+    else:
+        plan, on = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [*on, "part"]
+    copies = (F.col("base") + F.coalesce(F.struct("part", "h", "at") <= F.col("last"), F.lit(False)).cast("long")).cast("long")
+    planned = rows.join(plan, on).withColumn("copies", copies)
+    return planned.select(*back, F.col("w").alias("size"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("w")).alias("taken"))

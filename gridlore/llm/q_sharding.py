@@ -16,5 +16,5 @@ def query(spark, sf_dir):
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     # the text is read once; what the shuffle needs of it is small
     narrow = cut(docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
-    placed = shuffle_into_shards(narrow, N_SHARDS, key=["doc_id", "size", "text_crc32"])
+    placed = shuffle_into_shards(narrow, N_SHARDS, stable=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,13 +1,12 @@
 """Uniform random sharding with exact shard sizes through a hypergeometric communication matrix.
 
-A distributed random permutation needs no global sort. Rows fall into ``blocks`` logical partitions by a
-hash of their content. How many rows of each partition go to each shard is drawn *exactly* from the
-multivariate hypergeometric law, so shard sizes are exact before a row moves. Each partition permutes its
-rows locally and cuts the permuted run at the drawn counts; after the exchange every shard permutes again
-in small tiles, whose offsets turn local ranks into gapless slots.
-
-Native DataFrame operations only; the driver draws a ``blocks x shards`` matrix whose size never depends
-on the data.
+A distributed random permutation needs no global sort. Rows fall into logical partitions by a hash of their
+place in the input, which equal rows do not share. How many rows of each partition go to each shard is drawn
+*exactly* from the multivariate hypergeometric law, so shard sizes are exact before a row moves. Each
+partition permutes its rows locally and cuts the permuted run at the drawn counts; after the exchange every
+shard permutes again in small tiles, whose offsets turn local ranks into gapless slots.
+
+Native DataFrame operations only; the driver draws a ``partitions x shards`` matrix of counts.
 """
 
 from __future__ import annotations
@@ -18,11 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import seeded
+from gridlore.llm.common import carried, cut, seeded
 
-#: Logical partitions and tiles of a shard; fixed, so matrix and offset table are bounded at any scale.
-BLOCKS = 2048
-TILES = 512
+#: Rows of a logical partition or tile, of which there are LEAST_BLOCKS and LEAST_TILES at least.
+BLOCK_ROWS = 1 << 17
+LEAST_BLOCKS, LEAST_TILES = 2048, 512
 NUMPY_ITEMS = 1_000_000_000
 #: Broadcast bound of either table, in cells; above it the join is shuffled.
 MAX_BROADCAST_CELLS = 1 << 20
@@ -78,44 +77,51 @@ def _frame(spark, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(literal).alias("r")).select("r.*")
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int, *, key: list[str], seed: int = 7, blocks: int = BLOCKS, tiles: int = TILES) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, n_shards: int, *, seed: int = 7, stable: bool = False, blocks: int | None = None, tiles: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` plus ``shard`` (int) and ``slot`` (long, gapless from 0 per shard).
 
-    Shard sizes differ by at most one. ``key`` names the columns whose content seeds the permutation; rows
-    equal in all of them are interchangeable. Nulls, empty texts and repeated rows are ordinary rows; an
-    empty table gives an empty result. Columns named ``shard`` or ``slot`` are replaced.
+    Shard sizes differ by at most one. Every row, repeats of another included, has a random place of its
+    own. Nulls, empty and long texts and repeated rows are ordinary rows; an empty table gives an empty
+    result. Columns named ``shard`` or ``slot`` are replaced, any other name is kept.
+
+    A row is known by its place in the input, which has to be the same whenever a task is run again.
+    ``stable`` says that it is (files or a checkpoint, with no shuffle after them); else the rows are
+    written to the checkpoint folder first. Reruns over the same files agree.
     """
     spark = docs.sparkSession
-    base = docs.drop("shard", "slot")
-    hashed = base.withColumn("__h", seeded(seed, *[base[c] for c in key]))
-    placed = hashed.withColumn("__b", F.pmod("__h", F.lit(blocks)).cast("int"))
-    counts = [0] * blocks
-    for r in placed.groupBy("__b").count().collect():  # at most ``blocks`` rows
-        counts[r["__b"]] = r["count"]
-    total = sum(counts)
+    inner, back = carried(docs, docs.columns, ["shard", "slot"])
+    base = docs.select(*inner)
+    placed = (base if stable else cut(base)).withColumn("at", F.monotonically_increasing_id())
+    total = placed.count()
     if not total:
-        return base.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")}).limit(0)
+        return base.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")}).limit(0).select(*back, "shard", "slot")
+    blocks = blocks or max(LEAST_BLOCKS, -(-total // BLOCK_ROWS))
+    tiles = tiles or max(LEAST_TILES, -(-total // (n_shards * BLOCK_ROWS)))
+    placed = placed.withColumn("h", seeded(seed, F.col("at"))).withColumn("b", F.pmod("h", F.lit(blocks)).cast("int"))
+    counts = [0] * blocks
+    for r in placed.groupBy("b").count().collect():  # a count for each logical partition
+        counts[r["b"]] = r["count"]
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     cuts = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
-    bounds = _frame(spark, [{"__b": b, "__cuts": [int(x) for x in cuts[b]]} for b in range(blocks) if counts[b]], "__b:int,__cuts:array<bigint>")
+    bounds = _frame(spark, [{"b": b, "cuts": [int(x) for x in cuts[b]]} for b in range(blocks) if counts[b]], "b:int,cuts:array<bigint>")
     if blocks * n_shards <= MAX_BROADCAST_CELLS:
         bounds = F.broadcast(bounds)
-    local = Window.partitionBy("__b").orderBy(seeded(seed + 1, F.col("__h")), "__h")
+    local = Window.partitionBy("b").orderBy(seeded(seed + 1, F.col("h")), "h", "at")
     sent = (
-        placed.withColumn("__r", F.row_number().over(local) - 1)
-        .join(bounds, "__b")
-        .withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__r"))))
-        .withColumn("__t", F.pmod(seeded(seed + 2, F.col("__h")), F.lit(tiles)).cast("int"))
-        .drop("__cuts", "__r", "__b")
+        placed.withColumn("r", F.row_number().over(local) - 1)
+        .join(bounds, "b")
+        .withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("r"))))
+        .withColumn("t", F.pmod(seeded(seed + 2, F.col("h")), F.lit(tiles)).cast("int"))
+        .drop("cuts", "r", "b")
     )
-    in_shard = Window.partitionBy("shard").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent.groupBy("shard", "__t").agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(in_shard), F.lit(0))).drop("__n")
+    in_shard = Window.partitionBy("shard").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sent.groupBy("shard", "t").agg(F.count("*").alias("n")).withColumn("o", F.coalesce(F.sum("n").over(in_shard), F.lit(0))).drop("n")
     if n_shards * tiles <= MAX_BROADCAST_CELLS:
         offsets = F.broadcast(offsets)
-    again = Window.partitionBy("shard", "__t").orderBy(seeded(seed + 3, F.col("__h")), "__h")
+    again = Window.partitionBy("shard", "t").orderBy(seeded(seed + 3, F.col("h")), "h", "at")
     return (
-        sent.withColumn("__k", F.row_number().over(again) - 1)
-        .join(offsets, ["shard", "__t"])
-        .withColumn("slot", (F.col("__o") + F.col("__k")).cast("long"))
-        .select(*base.columns, "shard", "slot")
+        sent.withColumn("k", F.row_number().over(again) - 1)
+        .join(offsets, ["shard", "t"])
+        .withColumn("slot", (F.col("o") + F.col("k")).cast("long"))
+        .select(*back, "shard", "slot")
     )

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import seeded
+from gridlore.llm.common import carried, seeded
 
 WORDS_PER_BLOCK = 4
 BITS_PER_KEY = 16
@@ -80,7 +80,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", carry
     A rule (host, path, verdict) fits its host and all subdomains where the url's path starts with the
     rule's; of several, the longest ``host + path`` wins, then the longer host. No rule: ``default``.
     Null urls and urls without ``://`` have empty host and path and meet only a rule of empty host;
-    repeated rows stay repeated; an empty list gives ``default`` throughout.
+    repeated rows stay repeated; an empty list gives ``default`` throughout, an empty table an empty result.
+    A long host costs as many candidates as the longest listed host has labels. A carried column named like
+    an added one gives way to it.
     """
     spark = urls.sparkSession
     listed = (
@@ -94,13 +96,17 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", carry
     n_blocks = max(1, -(-n_rules * BITS_PER_KEY // (64 * WORDS_PER_BLOCK)))
     lengths = [r[0] for r in listed.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]
     host, path = split_url(F.col(url_col))
-    rows = urls.select(*carry, F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
-    labels = F.split("host", r"\.", -1)
+    inner, back = carried(urls, list(carry), ["url", "host", "path", "rule", "verdict"])
+    rows = urls.select(*inner, F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    # only the last labels of a host, as many as the longest listed host has
+    n_labels = listed.agg(F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(1))).first()[0]
+    labels = F.split(F.substring_index("host", ".", -n_labels), r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice(F.col("labels"), i, F.size("labels")), "."))
     prefixes = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("p")) for n in lengths]), lambda s: F.length(s["p"]) == s["n"]) if lengths else None
-    shape = [F.col(c) for c in carry] + [F.col(c) for c in ("url", "host", "path")]
+    shape = [F.col(f"c{i}") for i in range(len(inner))] + [F.col(c) for c in ("url", "host", "path")]
+    back += [F.col(c) for c in ("url", "host", "path")]
     if prefixes is None:
-        return rows.select(*shape, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return rows.select(*back, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keys = F.flatten(F.transform("suffixes", lambda s: F.transform("prefixes", lambda p: _key(s, p["p"]))))
     cand = rows.withColumn("labels", labels).withColumns({"suffixes": suffixes, "prefixes": prefixes}).withColumn("keys", keys)
     built = build_filter(listed, n_blocks)
@@ -126,5 +132,5 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", carry
         exact = F.broadcast(exact)
     first = (F.coalesce("pos", F.lit(0)) == 0).cast("long")
     best = possible.join(exact, "key", "left").groupBy(*shape).agg(F.max("hit").alias("hit"), F.sum(first).alias("copies"))
-    out = [*shape, F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")]
+    out = [*back, F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")]
     return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*out)

@@ -36,16 +36,35 @@ def test_op1_over_its_table(spark, sf):
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
 
 
+CLASH = ["n_words", "kept", "skey", "h", "at", "b", "t", "w", "c0", "part", "__h", "__b", "__text", "__size"]
+
+
+def clash():
+    return {c: F.lit(f"clash {c}") for c in CLASH}
+
+
 def test_shuffle_of_odd_rows(spark):
-    df = docs(spark, ODD).withColumns({"shard": F.lit("clash"), "slot": F.lit("clash"), "size": F.lit(1)})
-    got = [r.asDict() for r in sharding.shuffle_into_shards(df, 3, key=["doc_id", "text"]).collect()]
+    df = docs(spark, ODD).withColumns({"shard": F.lit("clash"), "slot": F.lit("clash"), "size": F.lit(1), **clash()})
+    got = [r.asDict() for r in sharding.shuffle_into_shards(df, 3).collect()]
     check_law(got, len(ODD), 3)
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, _, _ in ODD)
-    assert sharding.shuffle_into_shards(df.limit(0), 3, key=["doc_id"]).count() == 0
-    few = sharding.shuffle_into_shards(df.where("doc_id = 1"), 8, key=["doc_id"]).collect()
+    assert all(r["size"] == 1 and all(r[c] == f"clash {c}" for c in CLASH) for r in got)
+    assert sharding.shuffle_into_shards(df.limit(0), 3).count() == 0
+    few = sharding.shuffle_into_shards(df.where("doc_id = 1"), 8).collect()
     assert [(r["shard"], r["slot"]) for r in few] == [(0, 0)]
 
 
+def test_repeats_are_spread(spark):
+    got = sharding.shuffle_into_shards(spark.range(3000).selectExpr("id % 1500 AS doc_id"), 8, tiles=4, blocks=16).collect()
+    check_law([r.asDict() for r in got], 3000, 8)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["shard"], r["slot"]))
+    together = [p for p in by.values() if p[0][0] == p[1][0]]
+    assert abs(len(together) - 1500 / 8) < 5 * (1500 / 8) ** 0.5  # as by chance
+    assert sum(abs(a[1] - b[1]) == 1 for a, b in together) < 12
+
+
 def test_matrix_has_exact_margins_and_the_law():
     rows, shards = [5, 0, 17, 30, 8], [20, 20, 20]
     seen = []
@@ -74,7 +93,7 @@ def test_uniform_over_positions(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"))
     hits = Counter()
     for seed in range(12):
-        hits.update(r["shard"] for r in sharding.shuffle_into_shards(df, 4, key=["doc_id"], seed=seed).where("doc_id < 40").collect())
+        hits.update(r["shard"] for r in sharding.shuffle_into_shards(df, 4, seed=seed).where("doc_id < 40").collect())
     assert all(70 < hits[s] < 170 for s in range(4))  # 120 expected
 
 
@@ -134,8 +153,9 @@ def test_op3_over_its_table(spark, sf):
 
 
 def test_mix_of_odd_rows(spark):
-    df = docs(spark, ODD).withColumns({"size": F.lit("clash"), "target": F.lit(1)})
+    df = docs(spark, ODD).withColumns({"size": F.lit("clash"), "target": F.lit(1), **clash()})
     got = [r.asDict() for r in mix(df, key=["doc_id", "text"]).collect()]
+    assert all(r[c] == f"clash {c}" for r in got for c in CLASH)
     assert len(got) == len(ODD) and {r["source"] for r in got} == {s for *_, s in ODD}
     want = water_fill({s: sum(len(words(t)) for _, t, _, x in ODD if x == s) for s in {s for *_, s in ODD}})
     for r in got:
@@ -153,6 +173,21 @@ def test_a_large_group_of_copies_is_shared_out_exactly(spark):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 3
 
 
+def test_mix_without_a_broadcast_agrees(spark, monkeypatch):
+    df = docs(spark, [(i, "w " * (1 + i % 9), "en", "abc"[i % 3]) for i in range(400)] + [(7, "w w", "en", "a")] * 60)
+    one = Counter((r["doc_id"], r["copies"]) for r in mix(df, key=["doc_id"]).collect())
+    monkeypatch.setattr("gridlore.llm.mixing.MAX_BROADCAST_CELLS", 3)
+    assert Counter((r["doc_id"], r["copies"]) for r in mix(df, key=["doc_id"]).collect()) == one
+    mine = [r for r in mix(df, key=["doc_id"]).collect() if r["source"] == "a"]
+    assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 3 and max(r["copies"] for r in mine) <= 2
+
+
+def test_a_dual_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr("gridlore.llm.mixing.MAX_ITERATIONS", 0)
+    with pytest.raises(RuntimeError):
+        mix(docs(spark, [(i, "w " * (1 + i % 9), "en", "abc"[i % 3]) for i in range(30)]), key=["doc_id"])
+
+
 # ---- urls
 
 def brute_verdict(url, rules):
@@ -169,7 +204,7 @@ def brute_verdict(url, rules):
 
 ODD_URLS = [
     None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com", "http://example.com/", "http://xexample.com/en/", "http://a.b.net/fr/?q", "x://net/es/",
-    "http://net?/es/", "http://NET/es", "http://a//b://c", "http://ÄÖ.com/en/", "http://u@example.com:80/en/", "http://www.example.com/en/", "http://m.www.example.com/en/a", "http://.com/", "a\nb://net/es/",
+    "http://net?/es/", "http://NET/es", "http://a//b://c", "http://ÄÖ.com/en/", "http://u@example.com:80/en/", "http://www.example.com/en/", "http://m.www.example.com/en/a", "http://.com/", "a\nb://net/es/", "http://" + "x." * 3000 + "com/", "http://" + "x." * 3000 + "c.b.a.com/x/y", "http://net/fr/" + "y" * 100_000,
 ]
 
 
@@ -188,8 +223,8 @@ def test_urls_against_brute_force(spark, monkeypatch, literal):
     hosts = ["com", "net", "a.com", "b.a.com", "a.net", "c.b.a.com"]
     rules = q_urlfilter.RULES + [(h, p, rnd.choice(["allow", "block"])) for h in hosts[2:] for p in ("", "/x", "/x/y")]
     urls = ODD_URLS + [f"http://{rnd.choice(hosts)}{rnd.choice(['', '/', '/x', '/x/y/z', '/q'])}" for _ in range(150)] + ["http://a.com/x"] * 40
-    df = spark.createDataFrame([(i // 2, u, "k") for i, u in enumerate(urls)], "page_id long, url string, key string")
-    got = Counter((r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df, rules_frame(spark, rules)).collect())
+    df = spark.createDataFrame([(i // 2, u, "k") for i, u in enumerate(urls)], "page_id long, url string, key string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "labels", "c0")})
+    got = Counter((r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df, rules_frame(spark, rules), carry=("page_id", "url", "host", "labels", "c0")).collect())
     assert got == Counter((i // 2, u, *brute_verdict(u, rules)) for i, u in enumerate(urls))
 
 
