@@ -16,14 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import seeded
+from gridlore.llm.common import carried, quoted, seeded
 
 BITS = 14
 DIMENSIONS = 1 << BITS
 CENTROIDS = 3
-#: Bound of the training sample, by language and in languages.
-TEXTS_PER_LANGUAGE = 300
-MAX_LANGUAGES = 200
+#: Bound of the sample that the centroids are fitted on: texts of a language, and of all; every language has CENTROIDS at least.
+TEXTS_PER_LANGUAGE, TEXTS = 300, 30_000
 #: Share of training texts that lie beyond the rejection distance, and how much further it is drawn.
 REJECT_QUANTILE, REJECT_SLACK = 0.005, 0.8
 UNKNOWN = "und"
@@ -94,15 +93,14 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c[sizes > 0]
 
 
-def train(samples: list[tuple[str, np.ndarray]]) -> Model:
-    """Fits the centroids on (language, counts) samples."""
+def train(samples: list[tuple[str, np.ndarray]], df: np.ndarray | None = None, n: int = 0) -> Model:
+    """Fits the centroids on (language, counts) samples; ``df`` of ``n`` texts, else of the samples, weighs the n-grams."""
     languages = sorted({s[0] for s in samples})
     if not samples:
         return Model([], np.empty(0, int), np.empty((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.empty(0))
-    df = np.zeros(DIMENSIONS)
-    for _, c in samples:
-        df += c > 0
-    model = Model(languages, np.empty(0, int), np.empty(0), np.log((1 + len(samples)) / (1 + df)).astype(np.float32) + 1, np.zeros(len(languages)))
+    if df is None:
+        n, df = len(samples), np.sum([c > 0 for _, c in samples], axis=0)
+    model = Model(languages, np.empty(0, int), np.empty(0), np.log((1 + n) / (1 + df)).astype(np.float32) + 1, np.zeros(len(languages)))
     owner, all_centroids = [], []
     for i, lang in enumerate(languages):
         mine = [c for s, c in samples if s == lang]
@@ -118,49 +116,76 @@ def train(samples: list[tuple[str, np.ndarray]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Fits on at most ``per_language`` texts of each of at most MAX_LANGUAGES languages.
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all rows (t) each n-gram occurs, and how many rows have a letter."""
 
-    They are the first by a hash of the id among rows whose language and id are not null; executors turn
-    them into counts, of bounded size, before the driver sees them.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(DIMENSIONS + 1, np.int64)
+        for frame in frames:
+            for t in frame["t"]:
+                c = gram_counts(t) if t else None
+                if c is not None:
+                    df[:-1] += c > 0
+                    df[-1] += 1
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"at": at.astype(np.int32), "n": df[at]})
+
+    df = np.zeros(DIMENSIONS + 1, np.int64)
+    for r in texts.select("t").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # DIMENSIONS + 1 rows at most
+        df[r["at"]] = r["n"]
+    return df[:-1], int(df[-1])
+
+
+def fit(docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, per_language: int = TEXTS_PER_LANGUAGE, most: int = TEXTS) -> Model:
+    """Fits on all languages that occur; document frequencies are those of all training rows.
+
+    The centroids are fitted on at most ``per_language`` texts of each language and about ``most`` in all,
+    the first by a hash of the id among distinct rows whose language and id are not null. Executors turn
+    them into counts, of bounded size, before the driver sees them. A centroid takes 64 kB.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    top = usable.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(MAX_LANGUAGES).select(lang_col)
-    order = Window.partitionBy(lang_col).orderBy(seeded(9, F.col(id_col)), id_col)
-    few = usable.select(id_col, lang_col).join(F.broadcast(top), lang_col).withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= per_language)
-    ids = F.broadcast(few.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct())
-    texts = docs.join(ids, (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
+    rows = docs.select(docs[quoted(id_col)].alias("key"), docs[quoted(lang_col)].alias("lang"), docs[quoted(text_col)].alias("t"))
+    usable = rows.where("lang IS NOT NULL AND key IS NOT NULL")
+    n_languages = usable.select(F.count_distinct("lang")).first()[0]
+    each = max(CENTROIDS, min(per_language, most // max(n_languages, 1)))
+    order = Window.partitionBy("lang").orderBy(seeded(9, F.col("key")), "key", "sum")
+    summed = usable.select("key", "lang", seeded(8, F.col("t")).alias("sum"))
+    few = summed.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")
+    chosen = usable.withColumn("sum", seeded(8, F.col("t"))).join(F.broadcast(few), ["key", "lang", "sum"])
+    texts = chosen.groupBy("key", "lang", "sum").agg(F.min("t").alias("t"))  # one of rows that repeat
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            out = []
             for lang, key, text in zip(frame["lang"], frame["key"], frame["t"]):
                 c = gram_counts(text) if text else None
                 if c is not None:
                     at = np.flatnonzero(c)
-                    rows.append((lang, str(key), at.astype(np.int32).tobytes(), c[at].astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "key", "at", "n"])
+                    out.append((lang, str(key), at.astype(np.int32).tobytes(), c[at].astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "key", "at", "n"])
 
-    slim = texts.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("key"), F.col(text_col).alias("t"))
     samples = []
-    for r in sorted(slim.mapInPandas(count, "lang string, key string, at binary, n binary").collect()):
+    for r in sorted(texts.select("lang", "key", "t").mapInPandas(count, "lang string, key string, at binary, n binary").collect()):
         c = np.zeros(DIMENSIONS, np.int32)
         c[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int32)
         samples.append((r["lang"], c))
-    return train(samples)
+    return train(samples, *document_frequencies(usable))
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str, carry: list[str]) -> DataFrame:
     """carry columns, lang_pred, score and rejected of every row of ``docs``, from its whole text alone.
 
-    Null texts and texts without a letter, and all texts where nothing was learned: ``und``, 0, rejected.
+    Null texts, empty ones and texts without a letter, and all texts where nothing was learned: ``und``, 0,
+    rejected. Long texts are counted whole, in time in proportion; repeated rows are predicted alike; of
+    tied centroids the first language by name wins. An empty table gives an empty result. A carried column
+    named like an added one gives way to it, other names do no harm.
     """
-    kept = docs.select(*carry, docs[text_col].alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text") + ", lang_pred string, score double, rejected boolean"
+    inner, back = carried(docs, carry, ["lang_pred", "score", "rejected"])
+    kept = docs.select(*inner, docs[quoted(text_col)].alias("t"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema if f.name != "t") + "lang_pred string, score double, rejected boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            said = [model.predict(t) for t in frame.pop("__text")]
+            said = [model.predict(t) for t in frame.pop("t")]
             yield frame.assign(lang_pred=[s[0] for s in said], score=[s[1] for s in said], rejected=[s[2] for s in said])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInPandas(run, schema).select(*back, "lang_pred", "score", "rejected")
