@@ -17,6 +17,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gridlore.llm.common import carried, quoted
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements whose content is never text of the page.
@@ -273,12 +275,13 @@ def extract(pages: DataFrame, *, html_col: str = "html", carry: list[str]) -> Da
     Null and empty pages, and pages without an article, give an empty text. Rows are independent, so
     repeated rows give repeated results.
     """
-    kept = pages.select(*carry, pages[html_col].alias("__html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__html") + ", text string, n_chars long"
+    inner, back = carried(pages, carry, ["text", "n_chars"])
+    kept = pages.select(*inner, pages[quoted(html_col)].alias("h"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema if f.name != "h") + "text string, n_chars long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [main_text(h) for h in frame.pop("__html")]
+            texts = [main_text(h) for h in frame.pop("h")]
             yield frame.assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInPandas(run, schema).select(*back, "text", "n_chars")

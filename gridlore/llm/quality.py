@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import SEPARATOR_CHARS, seeded
+from gridlore.llm.common import SEPARATOR_CHARS, carried, quoted, seeded
 
 #: Bound of the labelled sample the list is fitted on.
 SAMPLE_ROWS = 20_000
@@ -83,19 +83,25 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """``carry`` columns and COUNTS of every row."""
-    kept = docs.select(*carry, docs[text_col].alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text") + f", {BASE}, {MORE}"
+    """``carry`` columns and COUNTS of every row; a carried column named like a count gives way to it."""
+    inner, back = carried(docs, carry, COUNTS)
+    kept = docs.select(*inner)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + f", {BASE}, {MORE}"
+    names = [c for c in dict.fromkeys(carry) if c.lower() not in COUNTS]
+    again = text_col in names  # a carried text is sent once
+    text = f"c{names.index(text_col)}" if again else "t"
+    if not again:
+        kept = docs.select(*inner, docs[quoted(text_col)].alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame.pop("__text")
+            texts = frame[text] if again else frame.pop(text)
             counts = np.array([measure(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
             for i, c in enumerate(COUNTS):
                 frame[c] = counts[:, i]
             yield frame
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInPandas(run, schema.removeprefix(", ")).select(*back, *COUNTS)
 
 
 def per(a: str, b: str) -> Column:
@@ -211,18 +217,20 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, conditions: int = 3, rul
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, sample: int = SAMPLE_ROWS, base: Column | None = None) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label_id_col: str = "doc_id", sample: int = SAMPLE_ROWS, base: Column | None = None) -> list[Rule]:
     """Learns the list from at most ``sample`` labelled rows, taken by a hash of the id.
 
-    Labels of null id or null quality are ignored; an id labelled twice counts twice. Rows that ``base``
-    rejects are left out, as the list never judges them. No usable label: an empty list.
+    Labels of null id or null quality are ignored; an id labelled twice alike counts once. Of several
+    documents with a labelled id the one of least counts stands for it. Rows that ``base`` rejects are left
+    out, as the list never judges them. No usable label: an empty list.
     """
-    usable = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("__id"), "quality")
-    few = usable.orderBy(seeded(5, F.col("__id")), "__id", "quality").limit(sample)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    rows = measured(texts.join(F.broadcast(few), "__id"), "__t", ["__id", "quality"])
-    frame = (rows.where(~base) if base is not None else rows).toPandas()  # at most ``sample`` labels
-    frame = frame.sort_values(["__id", "quality"], ignore_index=True)
+    usable = labels.where(F.col(label_id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(label_id_col).alias("id"), "quality").distinct()
+    few = usable.orderBy(seeded(5, F.col("id")), "id", "quality").limit(sample)
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    rows = measured(texts.join(F.broadcast(few), "id"), "text", ["id", "quality"])
+    one = rows.groupBy("id", "quality").agg(F.min(F.struct(*COUNTS)).alias("s")).select("id", "quality", "s.*")
+    frame = (one.where(~base) if base is not None else one).toPandas()  # at most ``sample`` rows
+    frame = frame.sort_values(["id", "quality"], ignore_index=True)
     x = {k: (frame[a] / np.maximum(frame[b], 1)).to_numpy(float) for k, (a, b) in STATISTICS.items()}
     return learn(x, (frame["quality"] == 0).to_numpy())
 
@@ -247,8 +255,12 @@ def base_rule(least_words: int = 20, repeat_percent: int = 30) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """carry columns (default the id), COUNTS, base_failed and kept of every row of ``docs``.
 
-    Null and empty texts have zero counts and fail the base rule; repeated rows are judged alike.
+    ``labels`` has (doc_id, quality). Null and empty texts have zero counts and fail the base rule; a long
+    text is measured whole, in time in proportion to it; repeated rows and ties are judged alike, each by
+    its own text. An empty table gives an empty result, empty labels an empty list. A carried column named
+    like an added one gives way to it, other names do no harm.
     """
     rules = fit(docs, labels, text_col=text_col, id_col=id_col, base=base_rule())
-    rows = measured(docs, text_col, carry or [id_col])
+    inner = [c for c in (carry or [id_col]) if c.lower() not in ("base_failed", "kept")]
+    rows = measured(docs, text_col, inner)
     return rows.withColumn("base_failed", base_rule()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
