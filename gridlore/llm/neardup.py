@@ -1,16 +1,21 @@
 """Near-duplicate components: bottom-k sketches of one hash, inverted lists, exact Jaccard.
 
 1. Every document becomes its set of shingles under one 64-bit hash function; the k least hashes are its
-   sketch. Equal sets (a 128-bit digest of the whole set) collapse to one representative.
+   sketch. Equal sets (a 128-bit digest of the whole set) collapse to one representative with a number of
+   its own; document ids only name the result.
 2. Inverted lists of the retained hashes generate overlaps. Two sets at the threshold share at least
    ``overlap_floor`` retained hashes, so it is enough that each representative enters the lists of its
    rarest hashes (prefix filtering); a hash that no other representative retains needs no list.
 3. Lists are not expanded into pairs. Each is tied to one pivot, and the ties' components are families:
-   any two sets that may be linked lie in one family. Each member is verified against its family's centre;
-   the members that the centre does not link are compared with the whole family in pairs of blocks, whose
-   tasks hold two blocks and return a spanning forest of the links found, not the links.
-4. Before an exact comparison the union-sketch estimate filters; what passes is compared on full sets.
-   Components of the links are the result.
+   any two sets that may be linked lie in one family. Each member is compared with its family's centre on
+   whole sets. Jaccard distance is a metric, so a member linked with the centre can be linked only with
+   members within twice the distance of the threshold: those in between are compared with the linked
+   ones, and centre and linked ones are done. The members not linked go on to the next round, with
+   families of their own, which fall apart where only the centre held them together.
+4. What is left after the rounds is compared within its families in pairs of blocks. A task holds two
+   blocks, of bounded size, and returns a spanning forest of the links found, not the links. The
+   union-sketch estimate filters; what passes is compared on whole sets. Components of the links are the
+   result.
 
 The loss of step 2 is a tail of a binomial law: five and a half standard deviations, under one in ten
 million for a pair exactly at the threshold and vanishing above it. Sets no larger than the sketch are
@@ -25,16 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import cut, seeded
+from gridlore.llm.common import cut, hot_join, quoted, seeded
 from gridlore.llm.graph import components
 
 SKETCH = 64
 SIGMAS = 5.5
-#: Members of a block; a task of step 3 holds two blocks of sets.
-BLOCK = 1024
+#: Rounds with a new centre for each family, before families are compared in blocks.
+ROUNDS = 1
+#: Hashes of a block's sets, 8 MB; a task of step 4 holds two blocks.
+BLOCK = 1 << 20
+#: Representatives whose text digests are broadcast to find their texts (16 bytes each).
+MAX_BROADCAST_REPS = 1_000_000
 #: Words whose hashes a worker remembers.
 MEMORY = 200_000
 
@@ -152,109 +161,184 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
+def text_key(text: Column) -> list[Column]:
+    """128-bit digest of a text, null counting as a text of its own."""
+    return [seeded(21, text).alias("t1"), seeded(22, text).alias("t2")]
+
+
 def sketch(docs: DataFrame, *, text_col: str, id_col: str, width: int) -> DataFrame:
-    """(id, n, d1, d2, sketch) of every row: set size, digest of the set, its least hashes."""
+    """(id, t1, t2, n, d1, d2, sketch) of every row: digest of its text, set size, digest of the set, its least hashes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [shingle_set(t, width) for t in frame["t"]]
+            sets = [shingle_set(t, width) for t in frame.pop("t")]
             digests = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"],
-                    "n": [len(s) for s in sets],
-                    "d1": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
-                    "d2": np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64),
-                    "sketch": [s[:SKETCH].view(np.int64) for s in sets],
-                }
+            yield frame.assign(
+                n=np.array([len(s) for s in sets], np.int64),
+                d1=np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
+                d2=np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64),
+                sketch=[s[:SKETCH].view(np.int64) for s in sets],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInPandas(run, f"id {kind}, n long, d1 long, d2 long, sketch array<long>")
+    text = docs[quoted(text_col)]
+    return docs.select(docs[quoted(id_col)].alias("id"), *text_key(text), text.alias("t")).mapInPandas(run, f"id {kind}, t1 long, t2 long, n long, d1 long, d2 long, sketch array<long>")
 
 
-def families(reps: DataFrame, percent: int) -> DataFrame:
-    """(rep, fam, centre): representatives that share a list with another, by family.
+def list_entries(reps: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, score, v): the lists v that each representative of ``reps`` (rep, n, sketch) enters; ``score`` counts whom it meets.
 
-    ``reps`` has (rep, s, sketch). A value's list enters through its count, never as a collected group.
+    A value's list enters through its count, never as a collected group.
     """
     # entries a sketch of each size may leave out, as one small literal
     skips = F.array(*[F.lit(overlap_floor(max(s, 1), percent)) for s in range(SKETCH + 1)])
-    values = reps.select("rep", "s", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "v").groupBy("rep", "s").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # at most SKETCH values
+    values = reps.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").withColumn("df", F.col("m"))
+    held = hot_join(values, shared, "v").groupBy("rep", "n", "s").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # at most SKETCH values
     prefix = F.col("s") - F.get(skips, F.col("s").cast("int")) + 1 - (F.col("s") - F.size("vs"))
     score = F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    chosen = held.withColumn("p", prefix.cast("int")).where("p > 0").select("rep", score.alias("score"), F.slice(F.array_sort("vs"), 1, F.greatest(F.col("p"), F.lit(0))).alias("vs"))
-    entries = cut(chosen.select("rep", "score", F.explode("vs.v").alias("v")))
-    pivots = entries.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", F.col("top.rep").alias("pivot"))
-    ties = entries.join(pivots, "v").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+    chosen = held.withColumn("p", prefix.cast("int")).where("p > 0").select("rep", "n", score.alias("score"), F.slice(F.array_sort("vs"), 1, F.greatest(F.col("p"), F.lit(0))).alias("vs"))
+    return cut(chosen.select("rep", "n", "score", F.explode("vs.v").alias("v")))
+
+
+def families(entries: DataFrame) -> DataFrame:
+    """(rep, n, fam, centre, k): representatives that share a list with another, by family, and its number of blocks."""
+    pivots = entries.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", F.col("top.rep").alias("pivot"), "m")
+    ties = hot_join(entries, pivots, "v").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
     rooted = components(ties)
     named = rooted.select(F.col("node").alias("rep"), F.col("root").alias("fam")).union(rooted.select(F.col("root").alias("rep"), F.col("root").alias("fam")).distinct())
-    scores = entries.groupBy("rep").agg(F.first("score").alias("score"))
+    scores = entries.groupBy("rep").agg(F.first("n").alias("n"), F.first("score").alias("score"))
     member = cut(named.join(scores, "rep"))
-    centre = member.groupBy("fam").agg(F.max(F.struct("score", "rep")).alias("top")).select("fam", F.col("top.rep").alias("centre"))
-    return member.join(centre, "fam").select("rep", "fam", "centre")
+    centre = member.groupBy("fam").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("k")).select("fam", F.col("top.rep").alias("centre"), "m", "k")
+    return cut(hot_join(member.select("rep", "n", "fam"), centre, "fam"))
 
 
-def links(docs: DataFrame, members: DataFrame, *, text_col: str, id_col: str, width: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) links that span the same components as all links between the members of each family."""
+def whole_sets(docs: DataFrame, classes: DataFrame, *, text_col: str, width: int) -> DataFrame:
+    """(rep, n, set) of the representatives in ``classes`` (rep, n, t1, t2), from one text each."""
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.drop(columns="t").assign(set=[shingle_set(t, width).tobytes() for t in frame["t"]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("t")).join(members, "rep")
-    # one row a representative, even where an id is given to different texts: then the least set stands for it
-    made = texts.select("rep", "fam", "centre", "t").mapInPandas(whole, f"rep {kind}, fam {kind}, centre {kind}, set binary")
-    sets = cut(made.groupBy("rep", "fam", "centre").agg(F.min("set").alias("set")))
-    middle = sets.where("rep = centre").select("fam", F.col("set").alias("mid"))
+    if classes.limit(MAX_BROADCAST_REPS + 1).count() <= MAX_BROADCAST_REPS:
+        classes = F.broadcast(classes)
+    text = docs[quoted(text_col)]
+    texts = docs.select(*text_key(text), text.alias("t")).join(classes, ["t1", "t2"])
+    once = texts.groupBy("rep", "n").agg(F.min("t").alias("t"))  # a text that repeats is met once
+    return cut(once.mapInPandas(run, "rep long, n long, set binary"))
+
+
+def centred(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(rep, fam, n, ring) of all members but the centres: 0 linked with the centre, 1 within twice that distance, 2 beyond.
 
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A family's members are dealt out in parts of a block, each behind a copy of the centre's set, and pass
+    through a task as a stream.
+    """
+    part = F.pmod(seeded(2, F.col("rep")), F.col("k")).cast("int")
+    parts = F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(part))
+    dealt = sets.select("rep", "set").join(members, "rep").select("fam", F.explode(parts).alias("part"), (F.col("rep") != F.col("centre")).alias("row"), "rep", "n", "set")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, middle = None, np.empty(0, np.uint64)
         for frame in frames:
-            keep = [any(True for _ in link_blocks([_unpack(m)], [_unpack(s)], [0], [1], percent)) for s, m in zip(frame["set"], frame["mid"])]
-            yield frame.drop(columns="mid").assign(ok=np.array(keep, bool))
-
-    # all members but the centres, and whether the centre links them
-    checked = cut(sets.join(middle, "fam").where("rep <> centre").select("rep", "fam", "centre", "set", "mid").mapInPandas(verify, f"rep {kind}, fam {kind}, centre {kind}, set binary, ok boolean"))
-    star = checked.where("ok").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    # families in which the centre leaves somebody out, unless that is the only other member
-    left = checked.groupBy("fam").agg(F.count("*").alias("m"), F.count_if(~F.col("ok")).alias("l")).where("l > 0 AND m > 1")
-    open_ = left.select("fam", F.ceil(F.col("l") / block).cast("int").alias("bi"), F.ceil(F.col("m") / block).cast("int").alias("bj"))
+            out = []
+            for fam, part, row, rep, n, raw in zip(*(frame[c] for c in ("fam", "part", "row", "rep", "n", "set"))):
+                if not row:
+                    key, middle = (fam, part), _unpack(raw)
+                elif key == (fam, part):
+                    out.append((rep, fam, n, ring(middle, _unpack(raw), percent)))
+                else:
+                    raise ValueError(f"no centre before the members of {fam}")
+            yield pd.DataFrame(out, columns=["rep", "fam", "n", "ring"])
+
+    return cut(dealt.repartition("fam", "part").sortWithinPartitions("fam", "part", "row").mapInPandas(run, "rep long, fam long, n long, ring int"))
+
+
+def ring(a: np.ndarray, b: np.ndarray, percent: int) -> int:
+    """0 if two sets are linked, 1 if both may be linked with a third, else 2, by their exact similarity."""
+    if len(a) and len(b) and 100 * min(len(a), len(b)) >= (2 * percent - 100) * max(len(a), len(b)):
+        at = np.searchsorted(a, b)
+        inter = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+        if linked(inter, len(a), len(b), percent):
+            return 0
+        if 100 * inter >= (2 * percent - 100) * (len(a) + len(b) - inter):
+            return 1
+    return 2
+
+
+def in_blocks(sets: DataFrame, sides: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) links that span what all links would between the rows and the others of each family.
+
+    ``sides`` has (rep, fam, n, row, other): on which sides a member stands. The others of a member that is no
+    row are known to be linked with each other. Each pair of blocks of a family is one group.
+    """
+    sums = sides.groupBy("fam").agg(F.count("*").alias("m"), *[F.ceil(F.sum(F.when(F.col(c), F.col("n"))) / block).cast("int").alias(k) for c, k in (("row", "bi"), ("other", "bj"))])
+    open_ = sums.where("bi > 0 AND bj > 0")
+    placed = hot_join(sides, open_, "fam")
     mine = lambda n, seed: F.pmod(seeded(seed, F.col("rep")), F.col(n)).cast("int")
-    # a member stands in its block of all members against every block of left-out ones, and the other way round
-    as_other = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("row")))
-    as_row = F.transform(F.sequence(F.lit(0), F.col("bj") - 1), lambda j: F.struct(mine("bi", 1).alias("i"), j.alias("j"), F.lit(True).alias("row")))
-    cells = F.explode(F.when(F.col("ok"), as_other).otherwise(F.concat(as_other, as_row))).alias("cell")
-    dealt = checked.join(open_, "fam").select("fam", "rep", "set", "ok", cells).select("fam", "rep", "set", "ok", "cell.*")
+    # a member stands in its block of others against every block of rows, and the other way round
+    as_other = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("as_row")))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("bj") - 1), lambda j: F.struct(mine("bi", 1).alias("i"), j.alias("j"), F.lit(True).alias("as_row")))
+    cells = F.explode(F.when(~F.col("row"), as_other).when(~F.col("other"), as_row).otherwise(F.concat(as_other, as_row))).alias("cell")
+    dealt = placed.select("rep", "fam", "row", cells).select("rep", "fam", (~F.col("row")).alias("tied"), "cell.*").join(sets.select("rep", "set"), "rep")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
-        a, b = frame[frame["row"]], frame[~frame["row"]]
-        out = link_blocks([_unpack(x) for x in a["set"]], [_unpack(x) for x in b["set"]], a["rep"].tolist(), b["rep"].tolist(), percent, b["ok"].tolist()) if len(a) and len(b) else []
+        a, b = frame[frame["as_row"]], frame[~frame["as_row"]]
+        out = link_blocks([_unpack(x) for x in a["set"]], [_unpack(x) for x in b["set"]], a["rep"].tolist(), b["rep"].tolist(), percent, b["tied"].tolist()) if len(a) and len(b) else []
         return pd.DataFrame([(x, y) for x, y in out if x != y], columns=["a", "b"])
 
     # dealt by all three, or a family's blocks would stay together in the task of the family
-    found = dealt.repartition("fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
-    return star.union(found)
+    return dealt.repartition("fam", "i", "j").groupBy("fam", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def links(docs: DataFrame, classes: DataFrame, *, text_col: str, width: int, percent: int, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b) links that span the same components as all links between ``classes`` (rep, n, t1, t2, sketch)."""
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    entries = list_entries(classes.select("rep", "n", "sketch"), percent)
+    members = families(entries)
+    sets = whole_sets(docs, classes.select("rep", "n", "t1", "t2").join(members.select("rep"), "rep"), text_col=text_col, width=width)
+    for _ in range(rounds):
+        near = centred(sets, members, percent)
+        centre = members.select("rep", "centre")
+        found = found.union(near.where("ring = 0").select("rep").join(centre, "rep").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+        # a family without a row or without another is no pair of blocks
+        sides = near.where("ring < 2").select("rep", "fam", "n", (F.col("ring") == 1).alias("row"), (F.col("ring") == 0).alias("other"))
+        found = found.union(in_blocks(sets, sides, percent, block))
+        entries = cut(entries.join(near.where("ring > 0").select("rep"), "rep", "left_semi"))
+        members = families(entries)
+        if members.isEmpty():
+            return found
+    sides = members.select("rep", "fam", "n", F.lit(True).alias("row"), F.lit(True).alias("other"))
+    return found.union(in_blocks(sets, sides, percent, block))
+
+
+def linked_rows(docs: DataFrame, *, text_col: str, id_col: str, width: int, percent: int) -> DataFrame:
+    """(id, t1, t2, n, root) of every row: its id, digest of its text, set size and number of its component (null for an empty set)."""
+    all_rows = cut(sketch(docs, text_col=text_col, id_col=id_col, width=width))
+    grouped = all_rows.where("n > 0").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.min(F.struct("t1", "t2")).alias("t"), F.first("sketch").alias("sketch"))
+    # numbered once and kept
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", "n", "t.t1", "t.t2", "sketch"))
+    merged = components(links(docs, classes, text_col=text_col, width=width, percent=percent))
+    named = classes.select("d1", "d2", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
+    counted = named.join(all_rows.groupBy("d1", "d2").agg(F.count("*").alias("m")), ["d1", "d2"]).select(F.struct("d1", "d2").alias("d"), "root", "m")
+    filled = all_rows.where("n > 0").select("id", "t1", "t2", "n", F.struct("d1", "d2").alias("d"))
+    without = all_rows.where("n = 0").select("id", "t1", "t2", "n", F.lit(None).cast("long").alias("root"))
+    return hot_join(filled, counted, "d").select("id", "t1", "t2", "n", "root").union(without)
 
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 3, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``; ``id`` keeps its column's name.
 
-    Rows are linked where 100 * intersection >= percent * union of their shingle sets. Null and empty texts
-    and texts without a word have an empty set and stand alone. A null id stands alone too: component null,
-    kept. Rows that repeat an id with the same text share its component; where an id is given to different
-    texts, each row has the component of its own text. An empty table gives an empty result.
+    Rows are linked where 100 * intersection >= percent * union of their shingle sets. ``component_id`` is the
+    least id of the row's component. Null and empty texts and texts without a word have an empty set and
+    stand alone. Links are between texts, not ids: rows that repeat an id have each the component of their
+    own text, and a row of null id takes part in its component, with a null component where no row of it has
+    an id; ``kept`` is true where id and component are equal, both null included. Long texts are compared
+    whole. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    all_rows = cut(sketch(docs, text_col=text_col, id_col=id_col, width=width))
-    usable = all_rows.where("n > 0 AND id IS NOT NULL")
-    classes = cut(usable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
-    members = cut(families(classes.select("rep", F.size("sketch").alias("s"), "sketch"), percent))
-    merged = components(links(docs, members, text_col=text_col, id_col=id_col, width=width, percent=percent))
-    named = classes.select("d1", "d2", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    out = all_rows.drop("sketch").join(named, ["d1", "d2"], "left")
-    alone = (F.col("n") == 0) | F.col("id").isNull()
-    component = F.when(alone, F.col("id")).otherwise(F.col("root"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    found = cut(linked_rows(docs, text_col=text_col, id_col=id_col, width=width, percent=percent))
+    least = found.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("low"), F.count("*").alias("m"))
+    out = hot_join(found.where("root IS NOT NULL"), least, "root").select("id", "n", "low")
+    out = out.union(found.where("root IS NULL").select("id", "n", F.col("id").alias("low")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("id").eqNullSafe(F.col("low")).alias("kept"))

@@ -2,9 +2,11 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from helpers import DOCS, table_rows, words
-from test_text_operators import brute_components
+from pyspark.sql import functions as F
+from test_sharding_mixing_urls import water_fill
+from test_text_operators import brute_components, brute_list, brute_statistics
 
-from gridlore.llm import q_quality
+from gridlore.llm import quality
 from gridlore.llm.decontam import normal_words
 from gridlore.llm.registry import oracle_sql, queries
 
@@ -29,7 +31,9 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
             assert docs.columns == columns
         assert all({c: r[c] for c in columns} == before[r["doc_id"]] for r in rows)
         if name == "quality_rules":
-            want = {r["doc_id"] for r in q_quality.query(spark, sf).collect() if r["kept"]}
+            rules = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), text_col="text", id_col="doc_id", base=quality.base_rule())
+            measured = {k: brute_statistics(v["text"]) for k, v in before.items()}
+            want = {k for k, (base, stats) in measured.items() if not base and not brute_list(rules, stats)}
         elif name == "near_dedup":
             found = brute_components([(k, v["text"]) for k, v in before.items()], 5, 80)
             want = {k for k, v in found.items() if v[2]}
@@ -41,7 +45,13 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
             sizes = {k: len(words(v["text"])) for k, v in before.items()}
             if name == "mix_sources":
                 assert max(ids.values()) <= 2
-                assert abs(sum(n * sizes[k] for k, n in ids.items()) - 1.5 * sum(sizes.values())) < 0.05 * sum(sizes.values())
+                totals, taken, largest = Counter(), Counter(), Counter()
+                for k, v in before.items():
+                    totals[v["source"]] += sizes[k]
+                    taken[v["source"]] += sizes[k] * ids[k]
+                    largest[v["source"]] = max(largest[v["source"]], sizes[k])
+                for source, target in water_fill(totals).items():
+                    assert abs(taken[source] - target) <= largest[source]
                 total = len(rows)
             else:
                 per = Counter(r["shard"] for r in rows)
@@ -53,18 +63,36 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
         before = {r["doc_id"]: {c: r[c] for c in columns} for r in rows}
 
 
+CLASH = ["n_words", "kept", "skey", "size", "taken", "rate", "target", "copies", "source_size", "__h", "__b", "__text", "base_failed", "given0", "c0", "id", "t1", "root", "digest", "rest", "copy"]
+
+
 def test_odd_tables(spark, sf, tmp_path):
     long_text = " ".join(f"word{i}" for i in range(60)) + "."
-    rows = [(1, long_text, "en", "a", 1), (1, long_text, "en", "a", 1), (None, long_text, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (4, long_text + " More.", None, None, 5)]
+    rows = [(1, long_text, "en", "a", 1), (1, long_text, "en", "a", 1), (None, long_text, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (4, long_text + " More.", None, None, 5), (5, " ".join(f"big{i}" for i in range(60_000)), "en", "a", 1)]
     for given in (rows, []):
-        docs = spark.createDataFrame(given, DOCS)
-        for name, stage in cp.STAGES:
+        docs = spark.createDataFrame(given, DOCS).withColumns({c: F.lit(f"clash {c}") for c in CLASH})
+        for i, (name, stage) in enumerate(cp.STAGES):
             path = str(tmp_path / f"{name}-{len(given)}")
+            columns = docs.columns
             stage(spark, docs, sf).write.parquet(path)
             docs = spark.read.parquet(path)
-        assert docs.count() >= 0 and docs.columns[-2:] == ["shard", "slot"]
-    dedup = cp.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf)
-    assert sorted(str(r["doc_id"]) for r in dedup.collect()) == ["1", "2", "3", "None"]
+            assert docs.columns == (columns if i < 4 else [*columns, "shard", "slot"])
+        got = docs.collect()
+        assert bool(got) == bool(given) and all(r[c] == f"clash {c}" for r in got for c in CLASH)
+
+
+def test_dedup_keeps_one_row_of_a_component_and_no_text_is_lost(spark, sf):
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one, "en", "z", 1), (1, one, "en", "a", 1), (None, one, "en", "a", 1), (1, other, "en", "a", 1), (9, other, "en", "a", 1), (2, None, None, None, None), (2, None, None, None, None), (3, "", "en", "b", 0), (4, one + " More.", None, None, 5), (None, "no id " + other, "en", "c", 1), (None, "all alone here with no id", "en", "c", 1)]
+    kept = [tuple(r) for r in cp.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf).collect()]
+    assert Counter(kept) == Counter([(1, one, "en", "a", 1), (1, other, "en", "a", 1), (2, None, None, None, None), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "all alone here with no id", "en", "c", 1)])
+
+
+def test_decontamination_is_by_text(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    clean = " ".join(f"clean{i}" for i in range(50))
+    rows = [(None, f"before {item} after", "en", "a", 1), (None, clean, "en", "a", 1), (1, item, "en", "a", 1), (1, clean, "en", "a", 1), (2, None, "en", "a", 1)]
+    assert sorted(str(r["text"]) for r in cp.decontaminate(spark, spark.createDataFrame(rows, DOCS), sf).collect()) == ["None", clean, clean]
 
 
 def test_run_is_registered(spark, sf):

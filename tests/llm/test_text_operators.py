@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridlore.llm import chat, decontam, htmltext, langid, lmscore, neardup, q_chat, q_decontam, q_htmltext, q_langid, q_lmscore, q_neardup, q_quality, quality
+from gridlore.llm import chat, common, decontam, htmltext, langid, lmscore, neardup, q_chat, q_decontam, q_htmltext, q_langid, q_lmscore, q_neardup, q_quality, quality
 from gridlore.llm.graph import components
 
 ODD = [(None, "a b c d", "en", "x"), (1, None, "en", None), (2, "", None, ""), (3, " \n\t", "en", "x"), (4, "the same text here", "en", "x"), (4, "the same text here", "en", "x"), (5, "THE same\ntext here", "de", None), (6, "w x " * 30_000, "en", "big")]
@@ -35,8 +35,8 @@ def test_op2_learns_held_out_languages(spark, sf):
 
 def test_odd_texts_of_languages(spark):
     model = langid.train([("en", langid.gram_counts("the and that with")), ("fr", langid.gram_counts("le la les élève"))] * 5)
-    df = docs(spark, [*ODD, (9, "1 2 3 !", "en", "x"), (10, "les élèves", None, "x"), (11, "\U00010400\U00010401", "en", "x")]).withColumn("score", F.lit(7))
-    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(df.drop("score"), model, text_col="text", carry=["doc_id"]).collect()]
+    df = docs(spark, [*ODD, (9, "1 2 3 !", "en", "x"), (10, "les élèves", None, "x"), (11, "\U00010400\U00010401", "en", "x")]).withColumns({"score": F.lit(7), "t": F.lit(8), "c0": F.lit(9)})
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(df, model, text_col="text", carry=["doc_id", "score", "t", "c0"]).collect()]
     by = dict((i, (p, s)) for i, p, s in got)
     assert len(got) == len(ODD) + 3
     assert by[1] == by[2] == by[3] == by[9] == ("und", 0.0)
@@ -45,6 +45,16 @@ def test_odd_texts_of_languages(spark):
     assert nothing.predict("the text") == ("und", 0.0, True)
 
 
+def test_the_sample_is_bounded_and_frequencies_are_not(spark, monkeypatch):
+    rows = [(7, "the same id again", "en", "x")] * 400 + [(7, f"an id given twice {chr(97 + i % 26)}{i}", "en", "x") for i in range(300)] + [(i, f"ein anderer text {i}", f"l{i % 30}", "x") for i in range(60)]
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda samples, df, n: seen.update(samples=samples, df=df, n=n))
+    langid.fit(docs(spark, rows).withColumns({"key": F.lit(1), "lang_": F.lit(2)}), text_col="text", lang_col="lang", id_col="doc_id", per_language=20)
+    per = Counter(lang for lang, _ in seen["samples"])
+    assert len(per) == 31 and max(per.values()) <= 20 and seen["n"] == len(rows)
+    assert (seen["df"] == np.sum([langid.gram_counts(t) > 0 for _, t, _, _ in rows], axis=0)).all()
+
+
 def test_cosine_is_the_brute_force_one():
     texts = {"a": "alpha beta gamma", "b": "один два три"}
     model = langid.train([(k, langid.gram_counts(t)) for k, t in texts.items()])
@@ -104,17 +114,39 @@ def test_dense_family_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     rows += [(200 + i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 200))) + " " + " ".join(base[:20])) for i in range(40)]
     want = brute_components(rows, 3, 85)
-    df = docs(spark, [(i, t, "en", "x") for i, t in rows]).withColumns({"rep": F.lit(1), "n": F.lit("clash")})
+    df = docs(spark, [(i, t, "en", "x") for i, t in rows]).withColumns({"rep": F.lit(1), "n": F.lit("clash"), "t1": F.lit(None).cast("string")})
     made = neardup.sketch(df, text_col="text", id_col="doc_id", width=3).where("n > 0")
-    reps = made.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
-    members = neardup.families(reps.select("rep", F.size("sketch").alias("s"), "sketch"), 85).cache()
-    small = neardup.links(df, members, text_col="text", id_col="doc_id", width=3, percent=85, block=16)
-    rooted = {r["node"]: r["root"] for r in components(small).collect()}
-    assert {i: rooted.get(i, i) for i in [r["rep"] for r in reps.collect()]} == {r["rep"]: want[r["rep"]][1] for r in reps.collect()}
+    grouped = made.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("sketch").alias("sketch")).cache()
+    reps = {r["rep"] for r in grouped.collect()}
+    monkeypatch.setattr(neardup, "BLOCK", 700)  # the centre's family is dealt out in parts too
+    for rounds in (0, 1):
+        small = neardup.links(df, grouped, text_col="text", width=3, percent=85, block=1500, rounds=rounds)
+        rooted = {r["node"]: r["root"] for r in components(small).collect()}
+        assert {i: rooted.get(i, i) for i in reps} == {i: want[i][1] for i in reps}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
     assert got == want
 
 
+def test_links_are_between_texts_not_ids(spark):
+    rnd = random.Random(2)
+    one, other = ([f"{c}{rnd.randrange(9999)}" for _ in range(90)] for c in "ab")
+    near = [*one[:-1], "last"]
+    rows = [(5, " ".join(one)), (5, " ".join(other)), (3, " ".join(near)), (None, " ".join([*other[:-1], "end"])), (None, "alone with no id at all"), (9, " ".join(other))]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, [(i, t, "en", "x") for i, t in rows])).collect()]
+    assert Counter(got) == Counter([(5, 3, False), (3, 3, True), (5, 5, True), (9, 5, False), (None, 5, False), (None, None, True)])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 30), min_size=1), st.sets(st.integers(0, 30), min_size=1), st.sets(st.integers(0, 30), min_size=1))
+def test_rings_lose_no_link(a, b, c):
+    a, b, c = (np.array(sorted(x), np.uint64) for x in (a, b, c))
+    ring = lambda x, y: neardup.ring(x, y, 85)
+    inter = len(np.intersect1d(a, b))
+    assert (ring(a, b) == 0) == (100 * inter >= 85 * (len(a) + len(b) - inter))
+    if ring(a, c) == 0 and ring(a, b) == 0:  # a links b and c, so b is no further than ring 1 from c
+        assert ring(b, c) < 2
+
+
 def test_odd_rows_of_near_duplicates(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, ODD)).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False), (6, 2, 6, True)], key=str)
@@ -139,6 +171,14 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    many = spark.createDataFrame([(1 if i < 300 else i % 40, i) for i in range(600)], "k long, v long")
+    one = many.groupBy("k").agg(F.count("*").alias("m"), F.max("v").alias("top")).where("k <> 7")
+    got = Counter(tuple(r) for r in common.hot_join(many, one, "k").select("k", "v", "top").collect())
+    assert got == Counter(tuple(r) for r in many.join(one, "k").select("k", "v", "top").collect())
+
+
 # ---- pages
 
 def test_op5_over_its_table(spark, sf):
@@ -221,10 +261,56 @@ def test_measures_equal_brute_force(parts):
 
 def test_odd_rows_of_quality(spark):
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 0), (6, None, 1)], "doc_id long, quality int, toxic int")
-    df = docs(spark, ODD).withColumn("n_words", F.lit("clash"))
-    got = quality.judge(df.drop("n_words"), labels).collect()
-    assert len(got) == len(ODD) and not any(r["kept"] for r in got)
-    assert quality.judge(df.drop("n_words").limit(0), labels.limit(0)).count() == 0
+    clash = {c: F.lit("clash") for c in ("n_words", "kept", "base_failed", "c0", "t", "__text", "id", "quality")}
+    df = docs(spark, ODD).withColumns(clash)
+    got = quality.judge(df, labels, carry=df.columns).collect()
+    assert len(got) == len(ODD) and not any(r["kept"] for r in got) and {r["c0"] for r in got} == {"clash"}
+    assert Counter((r["doc_id"], r["n_words"], r["text"]) for r in got) == Counter((i, len(words(t)), t) for i, t, _, _ in ODD)
+    assert quality.judge(df.limit(0), labels.limit(0)).count() == 0
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad: seen.append(len(bad)) or [])
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, quality int")
+    quality.fit(docs(spark, [(1, f"text {'w ' * i}", "en", "x") for i in range(300)] + [(2, "b", "en", "x")] * 50), labels, text_col="text", id_col="doc_id")
+    assert seen == [2]
+
+
+def brute_list(rules, stats):
+    """Whether an ordered list of rules rejects a document of these statistics."""
+    for rule in rules:
+        if all((stats[c.statistic] > c.threshold) == c.above for c in rule):
+            return True
+    return False
+
+
+def brute_statistics(text):
+    """Whether the base rule rejects a text, and the statistics that rules speak of."""
+    t = text or ""
+    w, lines = words(t), [x for x in t.split("\n") if words(x)]
+    n, m = max(len(w), 1), max(len(lines), 1)
+    _, chars, symbols, dup, repeat = brute_stats(t)
+    return len(w) < 20 or 100 * repeat > 30 * len(w), {
+        "symbols_per_word": symbols / n, "upper_share": sum(x.isupper() and len(x) > 1 for x in w) / n, "marks_per_word": sum(c in "!?" for c in t) / n, "digits_per_word": sum(c in "0123456789" for c in t) / n,
+        "repeat_share": repeat / n, "dup_line_share": dup / m, "open_line_share": sum(words(x)[-1][-1] not in ".!?:;\"')" for x in lines) / m, "word_length": chars / n, "words_per_line": len(w) / m, "distinct_share": len(set(w)) / n,
+    }
+
+
+def test_op6_verdict_equals_the_list_by_hand(spark, sf):
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.fit(table, labels, text_col="text", id_col="doc_id", base=quality.base_rule())
+    got = {r["doc_id"]: r for r in q_quality.query(spark, sf).collect()}
+    marked = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    wrong = bad = 0
+    for r in table.collect():
+        base, stats = brute_statistics(r["text"])
+        g = got[r["doc_id"]]
+        assert (g["base_failed"], g["kept"]) == (base, not base and not brute_list(rules, stats))
+        if marked.get(r["doc_id"]) == 0:
+            bad += 1
+            wrong += g["kept"]
+    assert bad and wrong <= 0.1 * bad  # few bad documents are kept
 
 
 def test_learned_list_separates_and_compiles(spark):
