@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlore.storage import checkpoint_dir, cut
 
-__all__ = ["carried", "checkpoint_dir", "cut", "hot_join", "n_words", "quoted", "seeded", "table", "without_keys"]
+__all__ = ["carried", "checkpoint_dir", "cut", "hot_join", "n_words", "quoted", "seeded", "table", "text_key", "without_keys"]
 
 #: A word is a maximal run of characters outside space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,11 @@ def seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def text_key(text: Column) -> list[Column]:
+    """128-bit digest of a text, null counting as a text of its own."""
+    return [seeded(21, text).alias("t1"), seeded(22, text).alias("t2")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

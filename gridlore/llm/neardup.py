@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import cut, hot_join, quoted, seeded
+from gridlore.llm.common import cut, hot_join, quoted, seeded, text_key
 from gridlore.llm.graph import components
 
 SKETCH = 64
@@ -161,11 +161,6 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def text_key(text: Column) -> list[Column]:
-    """128-bit digest of a text, null counting as a text of its own."""
-    return [seeded(21, text).alias("t1"), seeded(22, text).alias("t2")]
-
-
 def sketch(docs: DataFrame, *, text_col: str, id_col: str, width: int) -> DataFrame:
     """(id, t1, t2, n, d1, d2, sketch) of every row: digest of its text, set size, digest of the set, its least hashes."""
 

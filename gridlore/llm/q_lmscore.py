@@ -1,13 +1,11 @@
 """op10: masked pseudo-likelihood of every document under a network trained on all of them."""
 
 from gridlore.llm.common import table
-from gridlore.llm.lmscore import fit, score
+from gridlore.llm.lmscore import score
 
 NAME = "op10_score_pseudo_likelihood"
 ORACLE_SQL = None  # a trained network; tests check gradients, counts and scores by brute force
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    words, net = fit(docs, text_col="text")
-    return score(docs, words, net, text_col="text", carry=["doc_id"])
+    return score(table(spark, sf_dir, "documents"), text_col="text", carry=["doc_id"])

@@ -223,6 +223,60 @@ def test_cut_is_minimal(odds, data):
     assert cost(htmltext.minimum_cut([float(o) for o in odds], edges)) == min(cost(k) for k in itertools.product([False, True], repeat=n))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-9, 9), min_size=1, max_size=8), st.data())
+def test_labels_are_the_cut_of_all_blocks(odds, data):
+    edges = [(i, i + 1, 1.5) for i in range(len(odds) - 1)] + [(0, len(odds) - 1, float(data.draw(st.integers(1, 5))))] * (len(odds) > 2)
+    cost = lambda keep: sum(abs(o) for o, k in zip(odds, keep) if o and (o > 0) != k) + sum(p for i, j, p in edges if keep[i] != keep[j])
+    assert cost(htmltext.labels([float(o) for o in odds], edges)) == pytest.approx(cost(htmltext.minimum_cut([float(o) for o in odds], edges)))
+
+
+def soup(rnd, name="", marked=False):
+    """A page and its article's lines: no element says what it holds, unless ``marked``."""
+    sentence = lambda n: " ".join("".join(rnd.choices("abdeilmnorstu", k=rnd.randint(2, 9))) for _ in range(n))
+    inside = [rnd.choice([sentence(30) + ".", sentence(18) + ".", sentence(2)]) for _ in range(12)]
+    inside[0] = inside[-1] = sentence(40) + "."
+    menu = "".join(f'<li><a href="/{i}">{sentence(2)}</a></li>' for i in range(8))
+    notice = f'<div class="{name}"><p>{sentence(25)}.</p></div>'
+    head, tail = ("<article>", "</article>") if marked else ("<div><div>", "</div></div>")
+    return f"<body><div><ul>{menu}</ul></div>{head}{''.join(f'<p>{x}</p>' for x in inside)}{tail}{notice}<div><ul>{menu}</ul></div></body>", inside
+
+
+def test_the_cut_beats_a_threshold():
+    rnd = random.Random(6)
+    wrong = Counter()
+    for _ in range(60):
+        page, inside = soup(rnd, "sidebar")
+        blocks, parents = htmltext.blocks_of(page)
+        odds = [htmltext.log_odds(b, htmltext.View(), False) for b in blocks]
+        for how, keep in (("cut", htmltext.labels(odds, htmltext.edges_of(blocks, parents))), ("threshold", [o > 0 for o in odds])):
+            wrong[how] += sum(k != (b.text in inside) for b, k in zip(blocks, keep))
+    assert wrong["threshold"] > 100 and wrong["cut"] < 0.2 * wrong["threshold"]
+
+
+def test_names_are_learned_from_marked_pages():
+    rnd = random.Random(7)
+    view = htmltext.train([r for _ in range(80) for r in htmltext.labelled(soup(rnd, "zorbl", marked=True)[0])])
+    page, inside = soup(rnd, "zorbl")
+    assert htmltext.main_text(page, htmltext.View()).split("\n") != inside  # no list has this name
+    assert htmltext.main_text(page, view).split("\n") == inside
+    assert (htmltext.train([]).text == htmltext.View().text).all()
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000, "<span>" * 40_000 + "</p>" * 40_000, "<b>" + "<div>" * 20_000 + "</b>" * 20_000, "<!--" * 200_000, "<textarea>" * 100_000, "<li><ul>" * 20_000, '<a ">" ' * 100_000 + "'", "x < y " * 150_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_cut_off_and_unclosed_tags():
+    lines = lambda t: htmltext.main_text(f"<article><p>{t}").split("\n")
+    assert lines('one <b class="x>y">bold</b> two <a href="z') == ["one bold two"]
+    assert lines('one <b class="never>bold</b> two</p><p>three') == ["one bold two", "three"]
+    assert lines("1 < 2 and <3 </p><!-- never ends <p>three") == ["1 < 2 and <3"]
+
+
 # ---- quality
 
 def brute_stats(text):
@@ -546,23 +600,39 @@ def test_gradients_are_right():
 def test_op10_counts_and_scores(spark, sf):
     table = table_rows(spark, sf, "documents")
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    vocabulary = lmscore.vocabulary(df, "text")
-    want = Counter(w.encode().lower() for r in table for w in words(r["text"]))
-    assert vocabulary.common == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[: lmscore.CLASSES - lmscore.SHARED - 1]]
-    triples = Counter()
+    counted = lmscore.word_counts(df, "text").cache()
+    want, has = Counter(), defaultdict(list)
     for r in table:
-        c = vocabulary.classes(r["text"]).tolist()
+        split = [w.encode().lower() for w in words(r["text"])]
+        want.update(split)
+        for w in set(split):
+            has[w].append(r["doc_id"])
+    assert {bytes(r["word"]): (r["n"], r["df"]) for r in counted.collect()} == {w: (n, len(has[w])) for w, n in want.items()}
+    vocabulary = lmscore.vocabulary(counted)
+    assert vocabulary.words == [w for w, n in sorted(want.items(), key=lambda x: (-x[1], x[0])) if n > 1]
+    few = lmscore.vocabulary(counted, 500)
+    assert few.words == vocabulary.words[: len(few.words)] and 200 < len(few.words) <= 500
+    triples, letters = Counter(), Counter()
+    for r in table:
+        c = few.classes(r["text"]).tolist()
         for a, b, d in zip([0, *c[:-1]], c, [*c[1:], 0]):
             triples[(a * lmscore.CLASSES + d) * lmscore.CLASSES + b] += 1
-    assert {r["code"]: r["n"] for r in lmscore.triple_counts(df, "text", vocabulary).collect()} == triples
+        letters.update((-1 - lmscore.trigrams([w for w in lmscore.split(r["text"]) if w not in few.words])[0].astype(int)).tolist())
+    assert {r["code"]: r["n"] for r in lmscore.all_counts(df, "text", few).collect()} == triples + letters
     got = {r["doc_id"]: r for r in q_lmscore.query(spark, sf).collect()}
-    _, net = lmscore.fit(df, text_col="text")
+    model = lmscore.fit(df, text_col="text")
+    totals = Counter(x for r in table for x in model.words.classes(r["text"]).tolist())
+    for r in table:
+        assert got[r["doc_id"]]["n_novel"] == sum(has[w] == [r["doc_id"]] for w in set(lmscore.split(r["text"])))
     for r in table[:5]:
-        c = vocabulary.classes(r["text"])
+        c = model.words.classes(r["text"])
         sides = np.concatenate([[0], c, [0]])
-        z = net.forward(sides[:-2] * lmscore.CLASSES + sides[2:])[2]
+        z = model.net.forward(sides[:-2] * lmscore.CLASSES + sides[2:])[2][np.arange(len(c)), c]
         assert got[r["doc_id"]]["n_tokens"] == len(c)
-        assert got[r["doc_id"]]["log_likelihood"] == pytest.approx(float(z[np.arange(len(c)), c].sum()), rel=1e-4)
+        assert got[r["doc_id"]]["class_log_likelihood"] == pytest.approx(float(z.sum()), rel=1e-4)
+        inside = [np.log(want[w] / (totals[x] + 1)) if x >= lmscore.CLASSES - lmscore.SHARED else 0.0 for w, x in zip(lmscore.split(r["text"]), c.tolist()) if want[w] > 1]
+        spelled = [model.shares[model.words[w]] + model.tables()[1].each([w])[0] for w in lmscore.split(r["text"]) if want[w] == 1]
+        assert got[r["doc_id"]]["log_likelihood"] == pytest.approx(float(z.sum()) + sum(inside) + sum(spelled), rel=1e-4)
 
 
 def test_training_beats_the_unigram():
@@ -574,44 +644,67 @@ def test_training_beats_the_unigram():
 
 
 def test_odd_rows_of_scores(spark):
-    df = docs(spark, ODD).withColumn("n_tokens", F.lit("clash"))
-    words_, net = lmscore.fit(df, text_col="text")
-    got = sorted(((r["doc_id"], r["n_tokens"], r["mean_log_likelihood"]) for r in lmscore.score(df, words_, net, text_col="text", carry=["doc_id"]).collect()), key=str)
-    assert len(got) == len(ODD) and [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, None), (2, 0, None), (3, 0, None)]
-    empty = df.limit(0)
-    words_, net = lmscore.fit(empty, text_col="text")
-    assert lmscore.score(empty, words_, net, text_col="text", carry=["doc_id"]).count() == 0
-
-
-def test_words_of_one_class_score_by_their_spelling(spark):
+    df = docs(spark, ODD).withColumns({c: F.lit("clash") for c in ("n_tokens", "t", "d", "t1", "c0", "m", "word")})
+    got = sorted(((r["doc_id"], r["n_tokens"], r["mean_log_likelihood"], r["n_novel"]) for r in lmscore.score(df, text_col="text", carry=["doc_id", "t", "n_tokens", "d"]).collect()), key=str)
+    assert len(got) == len(ODD) and [g for g in got if g[0] in (1, 2, 3)] == [(i, 0, None, 0) for i in (1, 2, 3)]
+    assert {g[0]: g[3] for g in got} == {None: 4, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 2}
+    assert lmscore.score(df.limit(0), text_col="text", carry=["doc_id"]).count() == 0
+
+
+def spelled_model(beyond, vocabulary, counts):
+    code, n = np.unique(lmscore.trigrams(beyond)[0], return_counts=True)
+    words_ = lmscore.Vocabulary(vocabulary, counts)
+    totals = np.bincount(words_.cls[words_.numbers(beyond)], minlength=lmscore.CLASSES).astype(float)
+    for w, k in zip(vocabulary, counts):
+        totals[words_.cls[words_[w]]] += k
+    spelling = lmscore.Spelling(code, n).compiled()
+    return words_, spelling, lmscore.word_shares(words_, totals, spelling)
+
+
+def test_words_of_a_class_add_up_to_one(monkeypatch):
+    monkeypatch.setattr(lmscore, "LETTERS", np.array([97, 98, 99]))
+    rng = np.random.default_rng(1)
+    words_, spelling, shares = spelled_model([bytes(rng.choice([97, 98, 99], rng.integers(1, 4)).astype(np.uint8)) for _ in range(300)], [b"ab", b"abc", b"c"], [50, 20, 9])
+    by = np.zeros(lmscore.CLASSES)
+    for k in range(1, 13):
+        every = [bytes(w) for w in itertools.product(b"abc", repeat=k)] if k < 11 else []
+        if every:
+            numbers = words_.numbers(every)
+            spelled = np.where(numbers > 3, spelling.each(every), 0)
+            by += np.bincount(words_.cls[numbers], np.exp(shares[numbers] + spelled) * (words_.cls[numbers] >= lmscore.CLASSES - lmscore.SHARED), lmscore.CLASSES)
+    used = by > 0
+    assert used.sum() > 5 and by[used] == pytest.approx(np.ones(used.sum()), abs=0.01)
+
+
+def test_words_beyond_the_vocabulary_score_by_their_spelling():
     rng = np.random.default_rng(3)
-    prose = ["".join(rng.choice(list("stnr")) + rng.choice(list("aeio")) for _ in range(4)) for _ in range(600)]
-    by_class = {}
-    for w in (bytes(x) for x in rng.integers(98, 123, (2000, 8), dtype=np.uint8)):
-        by_class.setdefault(lmscore.Vocabulary([])[w], w.decode())
-    words_, net = lmscore.fit(docs(spark, [(0, " ".join(sorted(set(prose))), "en", "s")]), text_col="text")
-    rare = [w for w in sorted(set(prose)) if w.encode() not in words_.common]
-    pairs = [(w, by_class[words_[w.encode()]]) for w in rare[:40] if words_[w.encode()] in by_class]
-    rows = [(2 * i + j, w, "en", "s") for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
-    got = {r["doc_id"]: r for r in lmscore.score(docs(spark, rows), words_, net, text_col="text", carry=["doc_id"]).collect()}
-    assert len(pairs) > 20
-    for i in range(len(pairs)):  # the same class, so the classes alone cannot tell them apart
-        assert got[2 * i]["log_likelihood"] == got[2 * i + 1]["log_likelihood"]
-        assert got[2 * i]["word_log_likelihood"] > got[2 * i + 1]["word_log_likelihood"] + 5
+    prose = ["".join(rng.choice(list("stnr")) + rng.choice(list("aeio")) for _ in range(4)).encode() for _ in range(3000)]
+    words_, spelling, shares = spelled_model(prose, [b"the", b"of"], [900, 500])
+    score = lambda w: shares[words_[w]] + spelling.each([w])[0]
+    for w in prose[:40]:
+        other = bytes(rng.integers(98, 123, 6, dtype=np.uint8)) + w[-2:]  # the same class
+        assert words_[other] == words_[w] and score(w) > score(other) + 5
 
 
 def test_spelling_is_a_distribution():
     seen = [b"ab", b"ba", b"abc", b"ab"]
     code, n = np.unique(lmscore.trigrams(seen)[0], return_counts=True)
     assert len(lmscore.trigrams(seen)[0]) == sum(len(w) + 1 for w in seen)
-    s = lmscore.Spelling(code, n, []).compiled()
+    s = lmscore.Spelling(code, n).compiled()
     p = np.exp(s.p.reshape(256, 256, 256)[:, lmscore.LETTERS])  # after a letter
     assert p.sum(axis=2) == pytest.approx(np.ones(p.shape[:2]), abs=1e-4)
     assert s.each([b"ab", b"zz"]) == pytest.approx([s.each([w])[0] for w in (b"ab", b"zz")])
     step = lambda *x: s.p[(x[0] << 16) | (x[1] << 8) | x[2]]
     assert s.each([b"ab"])[0] == pytest.approx(step(32, 32, 97) + step(32, 97, 98) + step(97, 98, 32), rel=1e-5)
-    less = lmscore.Spelling(code, n, [b"ab"]).compiled()
-    assert np.exp(less.each([b"ba"])[0]) == pytest.approx(np.exp(s.each([b"ba"])[0]) / (1 - np.exp(s.each([b"ab"])[0])), rel=1e-4)
+    assert s.endings().sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_twice_given_texts_have_no_word_of_their_own(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) + str(rnd.randrange(200_000)) for _ in range(40)) for _ in range(80)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, *texts[:10]])]
+    got = {r["doc_id"]: r["n_novel"] for r in lmscore.score(docs(spark, rows), text_col="text", carry=["doc_id"]).collect()}
+    assert all((got[i] == 0) == (i < 10 or i >= 80) for i in got)
 
 
 def test_training_grows_with_the_contexts():
