@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round joins edges with the least neighbour of each node and checkpoints what it makes; after a few
-rounds all edges are stars around the least node of their component. No edge or label reaches the driver,
-and the edges of a node with very many are joined where they lie.
+rounds all edges are stars around the least node of their component. No edge or label reaches the driver.
+The least neighbours are kept before the join, so that both its sides are exchanges and adaptive execution
+splits the edges of a node with very many.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import cut, hot_join
+from gridlore.llm.common import cut
 
 MAX_ROUNDS = 60
 
@@ -32,11 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")))
         # large star: every greater neighbour meets the least of the neighbourhood
-        large = cut(hot_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct())
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
         # small star: a node and its lesser neighbours meet the least of them
-        joined = hot_join(large, large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("m")), "a")
-        ends = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         now = cut(joined.select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

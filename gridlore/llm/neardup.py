@@ -40,8 +40,10 @@ SKETCH = 64
 SIGMAS = 5.5
 #: Rounds with a new centre for each family, before families are compared in blocks.
 ROUNDS = 1
-#: Hashes of a block's sets, 8 MB; a task of step 4 holds two blocks.
-BLOCK = 1 << 20
+#: Hashes of a block's sets and MEMBER for each of them: 4 MB and 1024 members at most; a task of step 4 holds two blocks.
+BLOCK, MEMBER = 1 << 19, 512
+#: Hashes of the sets that are compared with a centre in one part, and MEMBER for each of them.
+PART = 1 << 17
 #: Representatives whose text digests are broadcast to find their texts (16 bytes each).
 MAX_BROADCAST_REPS = 1_000_000
 #: Words whose hashes a worker remembers.
@@ -124,11 +126,36 @@ def _pad(sets: list[np.ndarray], k: int = SKETCH) -> tuple[np.ndarray, np.ndarra
     return out, sizes
 
 
+class Lists:
+    """Inverted lists over sets: how many values each of them shares with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = [len(s) for s in sets]
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.owner, self.many = owner[order], len(sets)
+        self.values, self.start = np.unique(values[order], return_index=True)
+        self.size = np.diff(np.r_[self.start, len(values)])
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.values, s)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == s)] if len(self.values) else at[:0]
+        size = self.size[at]
+        places = np.repeat(self.start[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(at) else at
+        return np.bincount(self.owner[places], minlength=self.many)
+
+
+#: Candidates of a set that are compared one by one; more are counted at once over inverted lists.
+FEW = 24
+
+
 def link_blocks(rows: list[np.ndarray], others: list[np.ndarray], row_ids: list, other_ids: list, percent: int, tied: list[bool] | None = None) -> Iterator[tuple]:
     """A spanning forest of the links between ``rows`` and ``others``, each verified on whole sets.
 
-    ``tied`` marks others that are known to be linked with each other. What is already connected is not
-    compared again.
+    Inverted lists of retained hashes count the overlaps of a row with all others; where enough is shared,
+    the union-sketch estimate filters few candidates, and whole sets decide. ``tied`` marks others that are
+    known to be linked with each other. What is already connected is not compared again.
     """
     sketches, kept = _pad(others)
     sizes = np.array([len(s) for s in others])
@@ -138,21 +165,23 @@ def link_blocks(rows: list[np.ndarray], others: list[np.ndarray], row_ids: list,
     label = np.arange(len(ids))
     if tied is not None and any(tied):
         label[other_at[np.array(tied, bool)]] = len(ids)
+    retained, full = Lists([s[:SKETCH] for s in others]), None
     for k, (s, a) in enumerate(zip(rows, row_ids)):
         n = len(s)
         fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-        near = np.flatnonzero(fits & (label[other_at] != label[row_at[k]]))
-        if not len(near):
+        near = fits & (label[other_at] != label[row_at[k]])
+        if not near.any():
             continue
-        estimate = union_estimate(s[:SKETCH], sketches[near], kept[near])
-        for j in near[np.argsort(-estimate, kind="stable")[: int((estimate >= floor).sum())]]:
+        near = np.flatnonzero(near & (retained.overlaps(s[:SKETCH]) >= overlap_floor(min(n, SKETCH), percent)))
+        if len(near) > FEW:
+            full = full or Lists(others)
+            hits = near[linked(full.overlaps(s)[near], n, sizes[near], percent)]
+        else:
+            estimate = union_estimate(s[:SKETCH], sketches[near], kept[near])
+            hits = (j for j in near[estimate >= floor] if linked(np.isin(others[j], s, assume_unique=True).sum(), n, sizes[j], percent))
+        for j in hits:
             mine, its = label[row_at[k]], label[other_at[j]]
-            if mine == its:
-                continue
-            o = others[j]
-            at = np.searchsorted(s, o)
-            inter = int((s[np.minimum(at, n - 1)] == o).sum())
-            if linked(inter, n, len(o), percent):
+            if mine != its:
                 label[label == its] = mine
                 yield a, other_ids[j]
 
@@ -188,8 +217,8 @@ def list_entries(reps: DataFrame, percent: int) -> DataFrame:
     # entries a sketch of each size may leave out, as one small literal
     skips = F.array(*[F.lit(overlap_floor(max(s, 1), percent)) for s in range(SKETCH + 1)])
     values = reps.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").withColumn("df", F.col("m"))
-    held = hot_join(values, shared, "v").groupBy("rep", "n", "s").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # at most SKETCH values
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    held = values.join(shared, "v").groupBy("rep", "n", "s").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # at most SKETCH values
     prefix = F.col("s") - F.get(skips, F.col("s").cast("int")) + 1 - (F.col("s") - F.size("vs"))
     score = F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     chosen = held.withColumn("p", prefix.cast("int")).where("p > 0").select("rep", "n", score.alias("score"), F.slice(F.array_sort("vs"), 1, F.greatest(F.col("p"), F.lit(0))).alias("vs"))
@@ -197,15 +226,15 @@ def list_entries(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def families(entries: DataFrame) -> DataFrame:
-    """(rep, n, fam, centre, k): representatives that share a list with another, by family, and its number of blocks."""
-    pivots = entries.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", F.col("top.rep").alias("pivot"), "m")
-    ties = hot_join(entries, pivots, "v").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+    """(rep, n, fam, centre, k): representatives that share a list with another, by family, and the parts that it is dealt out in."""
+    pivots = entries.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", F.col("top.rep").alias("pivot"))
+    ties = entries.join(pivots, "v").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
     rooted = components(ties)
     named = rooted.select(F.col("node").alias("rep"), F.col("root").alias("fam")).union(rooted.select(F.col("root").alias("rep"), F.col("root").alias("fam")).distinct())
     scores = entries.groupBy("rep").agg(F.first("n").alias("n"), F.first("score").alias("score"))
     member = cut(named.join(scores, "rep"))
-    centre = member.groupBy("fam").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("k")).select("fam", F.col("top.rep").alias("centre"), "m", "k")
-    return cut(hot_join(member.select("rep", "n", "fam"), centre, "fam"))
+    centre = member.groupBy("fam").agg(F.max(F.struct("score", "rep")).alias("top"), F.ceil(F.sum(F.col("n") + MEMBER) / PART).cast("int").alias("k")).select("fam", F.col("top.rep").alias("centre"), "k")
+    return cut(member.select("rep", "n", "fam").join(centre, "fam"))
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, *, text_col: str, width: int) -> DataFrame:
@@ -226,7 +255,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, *, text_col: str, width: int
 def centred(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(rep, fam, n, ring) of all members but the centres: 0 linked with the centre, 1 within twice that distance, 2 beyond.
 
-    A family's members are dealt out in parts of a block, each behind a copy of the centre's set, and pass
+    A family's members are dealt out in parts, each behind a copy of the centre's set, and pass
     through a task as a stream.
     """
     part = F.pmod(seeded(2, F.col("rep")), F.col("k")).cast("int")
@@ -267,9 +296,9 @@ def in_blocks(sets: DataFrame, sides: DataFrame, percent: int, block: int) -> Da
     ``sides`` has (rep, fam, n, row, other): on which sides a member stands. The others of a member that is no
     row are known to be linked with each other. Each pair of blocks of a family is one group.
     """
-    sums = sides.groupBy("fam").agg(F.count("*").alias("m"), *[F.ceil(F.sum(F.when(F.col(c), F.col("n"))) / block).cast("int").alias(k) for c, k in (("row", "bi"), ("other", "bj"))])
+    sums = sides.groupBy("fam").agg(*[F.ceil(F.sum(F.when(F.col(c), F.col("n") + MEMBER)) / block).cast("int").alias(k) for c, k in (("row", "bi"), ("other", "bj"))])
     open_ = sums.where("bi > 0 AND bj > 0")
-    placed = hot_join(sides, open_, "fam")
+    placed = sides.join(open_, "fam")
     mine = lambda n, seed: F.pmod(seeded(seed, F.col("rep")), F.col(n)).cast("int")
     # a member stands in its block of others against every block of rows, and the other way round
     as_other = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), mine("bj", 2).alias("j"), F.lit(False).alias("as_row")))

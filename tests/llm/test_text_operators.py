@@ -118,9 +118,9 @@ def test_dense_family_in_blocks(spark, monkeypatch):
     made = neardup.sketch(df, text_col="text", id_col="doc_id", width=3).where("n > 0")
     grouped = made.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("sketch").alias("sketch")).cache()
     reps = {r["rep"] for r in grouped.collect()}
-    monkeypatch.setattr(neardup, "BLOCK", 700)  # the centre's family is dealt out in parts too
+    monkeypatch.setattr(neardup, "PART", 9000)  # the centre's family is dealt out in parts too
     for rounds in (0, 1):
-        small = neardup.links(df, grouped, text_col="text", width=3, percent=85, block=1500, rounds=rounds)
+        small = neardup.links(df, grouped, text_col="text", width=3, percent=85, block=9000, rounds=rounds)
         rooted = {r["node"]: r["root"] for r in components(small).collect()}
         assert {i: rooted.get(i, i) for i in reps} == {i: want[i][1] for i in reps}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
@@ -164,6 +164,29 @@ def test_union_estimate_is_exact_on_whole_sets():
             assert g == pytest.approx(np.isin(union, np.intersect1d(s, o)).mean())
 
 
+def test_links_of_blocks_span_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.choice(5000, 120, replace=False).astype(np.uint64)
+    sets = []
+    for _ in range(160):
+        s = base.copy()
+        s[rng.choice(120, rng.integers(0, 40), replace=False)] = rng.choice(100_000, 1).astype(np.uint64) + np.uint64(5000)
+        sets.append(np.unique(s))
+    sets += [np.unique(rng.integers(0, 300, rng.integers(1, 9)).astype(np.uint64)) for _ in range(60)]
+
+    def parts(edges):
+        root = list(range(len(sets)))
+        for a, b in edges:
+            root = [root[a] if x == root[b] else x for x in root] if root[a] != root[b] else root
+        return [root.index(x) for x in root]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if neardup.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 85)]
+    ids = list(range(len(sets)))
+    assert parts(neardup.link_blocks(sets, sets, ids, ids, 85)) == parts(every)
+    lists = neardup.Lists(sets)
+    assert all((lists.overlaps(s) == [len(np.intersect1d(s, o)) for o in sets]).all() for s in sets[:20])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(40)] + [(7, 7), (None, 3), (300, 200), (200, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
