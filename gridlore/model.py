@@ -7,8 +7,10 @@ columns ``c0 .. c{n-1}`` so that boxes reach the Parquet scan, and ordered by ``
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 MAX_DIMS = 16
@@ -47,6 +49,10 @@ class BadShape(GridError, ValueError):
     """Coordinates, boxes or keys of the wrong number or size."""
 
 
+class CorruptBlock(GridError):
+    """A block's rows are not those that were sealed."""
+
+
 def coord_columns(dims: int) -> list[str]:
     if not 1 <= dims <= MAX_DIMS:
         raise BadShape(f"a space has 1 to {MAX_DIMS} dimensions, not {dims}")
@@ -71,6 +77,17 @@ class SpaceConfig:
         coord_columns(self.dims)
 
 
+@dataclass(frozen=True)
+class PointSchema:
+    """How rows of a user's own shape become points: a Column for each coordinate, and the payload columns."""
+
+    coords: tuple[Callable[[DataFrame], Column], ...]
+    payload: tuple[str, ...] = ()
+
+    def project(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[f(rows).cast("long").alias(c) for f, c in zip(self.coords, coord_columns(len(self.coords)))], *self.payload)
+
+
 @dataclass(frozen=True)
 class SpatialRange:
     """An axis-aligned box, both corners included."""

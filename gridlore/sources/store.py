@@ -2,20 +2,26 @@
 
 Layout: ``log/space=<id>/`` holds appended versions that are not sealed; ``blocks/space=<id>/flush=<n>/``
 holds sealed ones, clustered by curve key; ``meta/<table>/<version>`` holds the small catalogs, each version
-written whole, so that a reader sees one state or the next. One writer at a time.
+written whole, so that a reader sees one state or the next. The manifest is a log of changes: a snapshot adds
+its own blocks and drops those that it replaces, and takes over the others of its parent, so that what is
+written does not grow with what is there. One writer at a time.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlore.functions.hilbert import covering_ranges, hilbert_key
 from gridlore.model import (
-    MAX_COORD, MAX_DIMS, BadShape, BranchNotFound, CompactionConfig, DuplicateBranch, DuplicateSpace, Query, RetentionPolicy, SpaceConfig, SpaceNotFound, coord_columns,
+    MAX_COORD, MAX_DIMS, BadShape, BranchNotFound, CompactionConfig, CorruptBlock, DuplicateBranch, DuplicateSpace, PointSchema, Query, RetentionPolicy, SpaceConfig, SpaceNotFound, coord_columns,
 )
 from gridlore.operators.blocks import apply_retention
+from gridlore.operators.join import safe_to_delete
 from gridlore.operators.order import number_rows
 from gridlore.operators.scan import latest, scan_faithful, scan_live, scan_versions
 from gridlore.plans.compile import select_space
@@ -23,16 +29,18 @@ from gridlore.storage import cut
 
 SPACES = "id long, name string, dims int"
 BRANCHES = "id long, name string, head long, parent long, forked_at long"
-#: One row a block of a snapshot.
-MANIFEST = "snapshot_id long, space long, revision long, parent long, block_id long, hkey_min long, min_revision long, max_revision long, n_rows long, path string"
+#: One row a block that a snapshot adds or drops. ``sealed`` is the highest revision that the snapshot took from the log.
+CHANGES = "snapshot_id long, space long, revision long, sealed long, parent long, dropped boolean, block_id long, hkey_min long, hkey_max long, min_revision long, max_revision long, n_rows long, checksum string, path string"
+BLOCK_FIELDS = ["block_id", "hkey_min", "hkey_max", "min_revision", "max_revision", "n_rows", "checksum", "path"]
 ROWS_PER_FILE = 4_000_000
 
 
 class GridStore:
     """Spaces of versions; every read is a lazy DataFrame."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, on_write: Callable[[int, DataFrame], None] | None = None):
+        """``on_write`` is given the space and the versions of every write, such as to enqueue them for replication."""
+        self.spark, self.root, self.on_write = spark, root.rstrip("/"), on_write
         if self._read("branches", BRANCHES).isEmpty():
             self._write("branches", BRANCHES, [(1, "main", None, None, 0)])
 
@@ -54,6 +62,11 @@ class GridStore:
         found = self._versions(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/meta/{name}/{found[-1]}") if found else self.spark.createDataFrame([], schema)
 
+    def _read_all(self, name: str, schema: str) -> DataFrame:
+        """All versions of a catalog that is written as changes."""
+        found = self._versions(name)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/meta/{name}/{v}" for v in found]) if found else self.spark.createDataFrame([], schema)
+
     def _write(self, name: str, schema: str, rows: list | DataFrame) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, schema)
         number = (self._versions(name) or [0])[-1] + 1
@@ -92,20 +105,22 @@ class GridStore:
         return fs.exists(hadoop(path)) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(hadoop(path)))
 
     def revision(self) -> int:
-        """The highest revision written; log and blocks decide, so it survives a crash."""
-        top = 0
+        """The highest revision written, from the manifest and the logs; it survives a crash."""
+        top = self._read_all("manifest", CHANGES).agg(F.max(F.greatest("max_revision", "sealed"))).first()[0] or 0
         for (space,) in self.spaces().select("id").collect():
-            for df in (self.buffer(space), self.sealed(space)):
-                if df is not None:
-                    top = max(top, df.agg(F.max("revision")).first()[0] or 0)
+            if self._exists(self._paths("log", space)):
+                top = max(top, self.spark.read.parquet(self._paths("log", space)).agg(F.max("revision")).first()[0] or 0)
         return top
 
-    def insert(self, space: int, rows: DataFrame, order: list[str] | None = None, *, tombstone: bool = False) -> int:
+    def insert(self, space: int, rows: DataFrame, order: list[str] | None = None, *, tombstone: bool = False, schema: PointSchema | None = None) -> int:
         """Appends a version a row and returns the last revision; ``rows`` has c0.. and payload columns.
 
-        Revisions follow ``order`` (default: the coordinates, then the payload).
+        Revisions follow ``order`` (default: the coordinates, then the payload). ``schema`` projects other rows
+        to coordinates and payload.
         """
         config = self.space(space)
+        if schema is not None:
+            rows = schema.project(rows)
         coords = coord_columns(config.dims)
         if missing := [c for c in coords if c not in rows.columns]:
             raise BadShape(f"rows of space {space} lack {missing}")
@@ -120,7 +135,10 @@ class GridStore:
         cells = [F.shiftright(F.col(c), 32 - self._key_bits(config.dims)) for c in coords]
         shaped = numbered.withColumns({"tombstone": F.lit(tombstone), "hkey": hilbert_key(cells, self._key_bits(config.dims))})
         shaped.select(*coords, "revision", "tombstone", "hkey", *payload).write.mode("append").parquet(self._paths("log", space))
-        return self.revision()
+        last = self.spark.read.parquet(self._paths("log", space)).agg(F.max("revision")).first()[0]
+        if self.on_write is not None and last is not None and last >= start:
+            self.on_write(space, self.buffer(space).where(F.col("revision") >= start).select(*coords, "revision", "tombstone", *payload))
+        return max(last or 0, start - 1)
 
     def delete(self, space: int, points: DataFrame) -> int:
         """Appends a tombstone for each point."""
@@ -132,7 +150,11 @@ class GridStore:
         return max(1, min(16, 62 // dims)) if dims <= MAX_DIMS else 1
 
     def flush(self, space: int, rows_per_block: int = ROWS_PER_FILE) -> int | None:
-        """Seals the buffer: versions sorted by (key, revision) into files by key range, and a new snapshot."""
+        """Seals the buffer: versions sorted by (key, revision) into files by key range, and a new snapshot.
+
+        The snapshot says up to which revision it took the log, and a buffer shows only what is above, so a
+        crash before the log is deleted neither loses nor doubles a version.
+        """
         buffer = self.buffer(space)
         if buffer is None:
             return None
@@ -141,75 +163,126 @@ class GridStore:
         fs.delete(hadoop(self._paths("log", space)), True)
         return snapshot
 
-    def _seal(self, space: int, buffer: DataFrame, rows_per_block: int, *, keep: bool) -> int:
-        """Writes blocks and the snapshot that lists them, after its parent's blocks if they are kept."""
-        n = buffer.count()
-        known = self._read("manifest", MANIFEST)
-        ids = known.agg(F.max("snapshot_id"), F.max("block_id")).first()
-        snapshot, block = (ids[0] or 0) + 1, (ids[1] or 0) + 1
-        parent = known.where(F.col("space") == space).agg(F.max("snapshot_id")).first()[0]
+    def _seal(self, space: int, rows: DataFrame, rows_per_block: int, *, keep: bool, next_block: Callable[[], int] | None = None) -> int:
+        """Writes blocks and the snapshot that adds them; it drops its parent's blocks unless they are kept."""
+        known = self._read_all("manifest", CHANGES)
+        of_space = F.col("space") == space
+        snapshot, block, parent, sealed = known.agg(F.max("snapshot_id"), F.max("block_id"), F.max(F.when(of_space, F.col("snapshot_id"))), F.max(F.when(of_space, F.col("sealed")))).first()
+        snapshot = (snapshot or 0) + 1
         path = f"{self._paths('blocks', space)}/flush={snapshot}"
+        n, newest = rows.agg(F.count("*"), F.max("revision")).first()
         parts = max(1, -(-n // rows_per_block))
-        buffer.repartitionByRange(parts, "hkey", "revision").sortWithinPartitions("hkey", "revision").write.parquet(path)
+        rows.repartitionByRange(parts, "hkey", "revision").sortWithinPartitions("hkey", "revision").write.mode("overwrite").parquet(path)
         written = self.spark.read.parquet(path).withColumn("path", F.input_file_name())
-        stats = written.groupBy("path").agg(F.min("hkey").alias("hkey_min"), F.min("revision").alias("min_revision"), F.max("revision").alias("max_revision"), F.count("*").alias("n_rows"))
-        rows = [r.asDict() for r in stats.orderBy("hkey_min", "path").collect()]  # one row a file
-        revision = max(r["max_revision"] for r in rows)
-        fresh = [(snapshot, space, revision, parent, block + i, r["hkey_min"], r["min_revision"], r["max_revision"], r["n_rows"], r["path"]) for i, r in enumerate(rows)]
-        kept = known.where((F.col("space") == space) & (F.col("snapshot_id") == F.lit(parent))).withColumns({"snapshot_id": F.lit(snapshot).cast("long"), "revision": F.lit(revision).cast("long"), "parent": F.lit(parent).cast("long")})
-        listed = known.unionByName(kept) if keep else known
-        self._write("manifest", MANIFEST, cut(listed.unionByName(self.spark.createDataFrame(fresh, MANIFEST))))
+        stats = written.groupBy("path").agg(
+            F.min("hkey").alias("hkey_min"), F.max("hkey").alias("hkey_max"), F.min("revision").alias("min_revision"), F.max("revision").alias("max_revision"),
+            F.count("*").alias("n_rows"), self._checksum(written).alias("checksum"),
+        )
+        found = [r.asDict() for r in stats.orderBy("hkey_min", "path").collect()]  # one row a file
+        ids = iter(next_block, object()) if next_block else itertools.count((block or 0) + 1)
+        sealed = max(sealed or 0, newest) if keep else sealed
+        head = (snapshot, space, max(x["max_revision"] for x in found), sealed, parent)
+        changes = self.spark.createDataFrame([(*head, False, next(ids), *(x[c] for c in BLOCK_FIELDS[1:])) for x in found], CHANGES)
+        if not keep and parent is not None:
+            old = self.manifest(space, parent)
+            marks = dict(zip(("snapshot_id", "space", "revision", "sealed", "parent"), head))
+            gone = old.select(*[F.lit(v).cast("long").alias(k) for k, v in marks.items()], F.lit(True).alias("dropped"), *BLOCK_FIELDS)
+            changes = changes.unionByName(gone)
+        self._write("manifest", CHANGES, cut(changes))
         return snapshot
 
+    @staticmethod
+    def _checksum(rows: DataFrame):
+        """Digest of a set of rows in any order: the sum of their hashes, as columns of fixed order give them."""
+        fields = [c for c in sorted(rows.columns) if c != "path" and not isinstance(rows.schema[c].dataType, T.MapType)]
+        return F.sum(F.xxhash64(*fields).cast("decimal(38,0)")).cast("string")
+
     # -- reads
 
     def buffer(self, space: int) -> DataFrame | None:
+        """The versions of the log that no snapshot has taken."""
         path = self._paths("log", space)
-        return self.spark.read.option("mergeSchema", True).parquet(path) if self._exists(path) else None
+        if not self._exists(path):
+            return None
+        sealed = self._read_all("manifest", CHANGES).where(F.col("space") == space).agg(F.max("sealed")).first()[0] or 0
+        left = self.spark.read.option("mergeSchema", True).parquet(path).where(F.col("revision") > sealed)
+        return None if sealed and left.isEmpty() else left
 
-    def manifest(self, space: int | None = None, snapshot: int | None = None) -> DataFrame:
-        df = self._read("manifest", MANIFEST)
-        if space is not None:
-            df = df.where(F.col("space") == space)
-        return df if snapshot is None else df.where(F.col("snapshot_id") == snapshot)
+    def manifest(self, space: int, snapshot: int | None = None) -> DataFrame:
+        """The blocks of a snapshot, the current one unless it is named: what was added up to it and not dropped."""
+        all_ = self._read_all("manifest", CHANGES).where(F.col("space") == space)
+        at = snapshot if snapshot is not None else self.current_snapshot(space)
+        head = all_.where(F.col("snapshot_id") == F.lit(at)).limit(1).select(F.col("snapshot_id").alias("s"), F.col("revision").alias("r"), F.col("parent").alias("p"))
+        upto = all_.where(F.col("snapshot_id") <= F.lit(at))
+        live = upto.where("NOT dropped").join(upto.where("dropped").select("block_id"), "block_id", "left_anti")
+        return live.crossJoin(F.broadcast(head)).select(F.col("s").alias("snapshot_id"), "space", F.col("r").alias("revision"), F.col("p").alias("parent"), *BLOCK_FIELDS)  # head is one row
+
+    def has_block(self, space: int, block: int) -> bool:
+        return not self.manifest(space).where(F.col("block_id") == block).isEmpty()
 
     def current_snapshot(self, space: int) -> int | None:
-        return self.manifest(space).agg(F.max("snapshot_id")).first()[0]
+        return self._read_all("manifest", CHANGES).where(F.col("space") == space).agg(F.max("snapshot_id")).first()[0]
 
-    def sealed(self, space: int, snapshot: int | None = None, as_of: int | None = None) -> DataFrame | None:
-        """Versions of a snapshot's blocks; blocks wholly above ``as_of`` are not opened."""
+    def sealed(self, space: int, snapshot: int | None = None, as_of: int | None = None, ranges: list[tuple[int, int]] | None = None, *, verify: bool = False) -> DataFrame | None:
+        """Versions of a snapshot's blocks. Blocks wholly above ``as_of`` or outside all key ``ranges`` are not opened;
+        ``verify`` compares those that are with their checksums first."""
         at = snapshot if snapshot is not None else self.current_snapshot(space)
         if at is None:
             return None
         listed = self.manifest(space, at)
         if as_of is not None:
             listed = listed.where(F.col("min_revision") <= as_of)
-        files = [r["path"] for r in listed.select("path").collect()]
-        return self.spark.read.option("mergeSchema", True).parquet(*files) if files else None
-
-    def versions(self, space: int, snapshot: int | None = None, as_of: int | None = None) -> DataFrame:
+        if ranges is not None:
+            near = F.lit(False)
+            for low, high in ranges:
+                near = near | ((F.col("hkey_min") <= high) & (F.col("hkey_max") >= low))
+            listed = listed.where(near)
+        found = {r["path"]: r["checksum"] for r in listed.select("path", "checksum").collect()}
+        if verify:
+            self._verify(found)
+        return self.spark.read.option("mergeSchema", True).parquet(*found) if found else None
+
+    def _verify(self, files: dict[str, str]) -> None:
+        folders: dict[str, list[str]] = {}
+        for path in files:
+            folders.setdefault(path.rsplit("/", 1)[0], []).append(path)
+        for paths in folders.values():  # files of one seal have the same columns
+            rows = self.spark.read.parquet(*paths).withColumn("path", F.input_file_name())
+            for path, checksum in rows.groupBy("path").agg(self._checksum(rows)).collect():
+                if files.get(path) != checksum:
+                    raise CorruptBlock(path)
+
+    def versions(self, space: int, snapshot: int | None = None, as_of: int | None = None, ranges: list[tuple[int, int]] | None = None, *, verify: bool = False) -> DataFrame:
         """Sealed versions, and buffered ones unless a snapshot is asked for, with their state."""
-        parts = [(self.sealed(space, snapshot, as_of), "sealed")] + ([(self.buffer(space), "buffered")] if snapshot is None else [])
+        parts = [(self.sealed(space, snapshot, as_of, ranges, verify=verify), "sealed")] + ([(self.buffer(space), "buffered")] if snapshot is None else [])
         found = [df.withColumns({"space": F.lit(space).cast("long"), "state": F.lit(s)}) for df, s in parts if df is not None]
         if not found:
             coords = "".join(f"{c} long, " for c in coord_columns(self.space(space).dims))
             return self.spark.createDataFrame([], coords + "revision long, tombstone boolean, hkey long, space long, state string")
         return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
 
-    def read(self, query: Query, *, mode: str = "live") -> DataFrame:
-        """``live``: current state; ``versions``: every version; ``faithful``: as a buffer over blocks shows."""
+    def key_ranges(self, query: Query, dims: int) -> list[tuple[int, int]] | None:
+        """A superset of the clustering keys of a query's box, where one is worth its while."""
+        if not query.box or dims > 3 or len(query.box.low) != dims:
+            return None
+        bits = self._key_bits(dims)
+        low, high = (tuple(min(max(c, 0), MAX_COORD) >> (32 - bits) for c in corner) for corner in (query.box.low, query.box.high))
+        span = max(b - a for a, b in zip(low, high))
+        return covering_ranges(low, high, bits, 8) if 0 <= span <= 256 else None
+
+    def read(self, query: Query, *, mode: str = "live", verify: bool = False) -> DataFrame:
+        """``live``: current state; ``versions``: every version; ``faithful``: as a buffer over blocks shows.
+
+        A box opens only blocks whose keys may lie in it, and within them, rows are skipped by key.
+        """
         dims = self.space(query.space).dims
-        rows = select_space(self.versions(query.space, query.snapshot, query.as_of), query, dims)
-        if query.box:
-            bits = self._key_bits(dims)
-            if dims <= 3:  # a redundant superset of the box, for skipping within clustered files
-                low, high = (tuple(min(max(c, 0), MAX_COORD) >> (32 - bits) for c in corner) for corner in (query.box.low, query.box.high))
-                span = max(b - a for a, b in zip(low, high))
-                if 0 <= span <= 256:
-                    near = F.lit(False)
-                    for a, b in covering_ranges(low, high, bits, 8):
-                        near = near | F.col("hkey").between(a, b)
-                    rows = rows.where(near)
+        ranges = self.key_ranges(query, dims)
+        rows = select_space(self.versions(query.space, query.snapshot, query.as_of, ranges, verify=verify), query, dims)
+        if ranges is not None:
+            near = F.lit(False)
+            for a, b in ranges:
+                near = near | F.col("hkey").between(a, b)
+            rows = rows.where(near)
         key = coord_columns(dims)
         if mode == "versions":
             return scan_versions(rows, query.as_of, query.tombstones)
@@ -219,9 +292,10 @@ class GridStore:
 
     # -- maintenance
 
-    def compact(self, space: int, config: CompactionConfig = CompactionConfig(), policy: RetentionPolicy = RetentionPolicy()) -> int | None:
+    def compact(self, space: int, config: CompactionConfig = CompactionConfig(), policy: RetentionPolicy = RetentionPolicy(), next_block: Callable[[], int] | None = None) -> int | None:
         """Rewrites the sealed versions of a space into fresh blocks under a new snapshot; older snapshots stay
-        readable. Where nothing would be left, the snapshot stays as it is."""
+        readable until ``vacuum``. Where nothing would be left, the snapshot stays as it is. ``next_block`` may
+        number the blocks."""
         df = self.sealed(space)
         if df is None:
             return None
@@ -230,7 +304,19 @@ class GridStore:
         kept = cut(apply_retention(kept, policy, key))
         if kept.isEmpty():
             return self.current_snapshot(space)
-        return self._seal(space, kept, config.max_records_per_block, keep=False)
+        return self._seal(space, kept, config.max_records_per_block, keep=False, next_block=next_block)
+
+    def vacuum(self, space: int, keep: list[int] | None = None) -> int:
+        """Deletes the files of blocks that none of the snapshots ``keep`` (default: the current one) lists; returns how many."""
+        kept = keep if keep is not None else [x for x in [self.current_snapshot(space)] if x is not None]
+        if not kept:
+            return 0
+        listed = self.manifest(space, kept[0])
+        for snapshot in kept[1:]:
+            listed = listed.unionByName(self.manifest(space, snapshot))
+        every = self._read_all("manifest", CHANGES).where((F.col("space") == space) & ~F.col("dropped"))
+        fs, hadoop = self._fs()
+        return sum(fs.delete(hadoop(r["path"]), False) for r in safe_to_delete(every, listed).select("path").distinct().collect())  # one row a file
 
     # -- branches
 

@@ -1,7 +1,7 @@
 import pytest
 
 from gridlore.model import (
-    ADMIN, READ_ONLY, READ_WRITE, BadShape, BranchNotFound, CompactionConfig, DuplicateBranch, DuplicateSpace, Query, RetentionPolicy, Session, SpaceConfig, SpaceGrant, SpaceNotFound,
+    ADMIN, READ_ONLY, READ_WRITE, BadShape, BranchNotFound, CompactionConfig, CorruptBlock, DuplicateBranch, DuplicateSpace, PointSchema, Query, RetentionPolicy, Session, SpaceConfig, SpaceGrant, SpaceNotFound,
 )
 from gridlore.server import CreateBranch, Delete, GetSnapshot, Ping, Read, Write, dispatch, handlers_of
 from gridlore.sources.store import GridStore
@@ -132,6 +132,67 @@ def test_compaction(store):
     assert seen(store) == [(1, 0, "b"), (9, 9, "buffered")]
 
 
+def test_compaction_numbers_blocks_and_vacuum_deletes_the_old(store):
+    put(store, (1, 0, "a"))
+    one = store.flush(1)
+    put(store, (1, 0, "b"))
+    store.flush(1)
+    store.compact(1, CompactionConfig(10), next_block=iter(range(500, 600)).__next__)
+    assert [r["block_id"] for r in store.manifest(1).collect()] == [500] and store.has_block(1, 500) and not store.has_block(1, 1)
+    assert [r["block_id"] for r in store.manifest(1, one).collect()] == [1] and seen(store, Query(1, snapshot=one)) == [(1, 0, "a")]
+    assert store.vacuum(1) == 2 and store.vacuum(1) == 0
+    assert seen(store) == [(1, 0, "b")] and seen(store, mode="versions") == [(1, 0, "a"), (1, 0, "b")]
+
+
+def test_a_crash_between_snapshot_and_log_doubles_nothing(store, monkeypatch):
+    put(store, (1, 0, "a"), (2, 0, "b"))
+    fs, path = store._fs()
+
+    class Kept:
+        def __getattr__(self, name):
+            return (lambda *a: False) if name == "delete" else getattr(fs, name)
+
+    monkeypatch.setattr(store, "_fs", lambda: (Kept(), path))
+    store.flush(1)
+    monkeypatch.undo()
+    assert store.buffer(1) is None
+    assert seen(store, mode="versions") == [(1, 0, "a"), (2, 0, "b")]
+    assert put(store, (3, 0, "c")) == 3
+    assert seen(store, mode="versions") == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c")]
+    store.flush(1)
+    assert seen(store, mode="versions") == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c")]
+
+
+def test_blocks_off_the_box_are_not_opened_and_bad_ones_are_found(spark, store):
+    high = 2**32 - 1
+    put(store, (0, 0, "low"), (high, high, "high"))
+    store.flush(1, rows_per_block=1)
+    query = Query(1).with_box((0, 0), (9, 9))
+    ranges = store.key_ranges(query, 2)
+    assert store.sealed(1, ranges=ranges).count() == 1 and seen(store, query) == [(0, 0, "low")]
+    assert store.read(query, verify=True).count() == 1
+    target = store.manifest(1).where("hkey_min = 0").first()["path"]
+    other = str(store.root) + "/other"
+    spark.createDataFrame([(0, 0, 1, False, 0, "forged")], "c0 long, c1 long, revision long, tombstone boolean, hkey long, data string").coalesce(1).write.parquet(other)
+    fs, path = store._fs()
+    fs.delete(path(target), False)
+    forged = next(f.getPath() for f in fs.listStatus(path(other)) if f.getPath().getName().startswith("part"))
+    fs.rename(forged, path(target))
+    with pytest.raises(CorruptBlock):
+        store.read(query, verify=True)
+
+
+def test_writes_are_handed_on_and_rows_are_projected(spark, tmp_path):
+    given = []
+    store = GridStore(spark, str(tmp_path / "hooked"), on_write=lambda space, versions: given.extend(tuple(r) for r in versions.select("c0", "revision", "tombstone").collect()))
+    store.register_space(SpaceConfig(1, "p", 1))
+    schema = PointSchema((lambda rows: rows["day"] * 24 + rows["hour"],), ("what",))
+    store.insert(1, spark.createDataFrame([(1, 2, "x")], "day long, hour long, what string"), schema=schema)
+    store.delete(1, spark.createDataFrame([(26,)], "c0 long"))
+    assert given == [(26, 1, False), (26, 2, True)]
+    assert [r["what"] for r in store.read(Query(1), mode="versions").collect()] == ["x"]
+
+
 def test_dispatch(spark, store):
     h = handlers_of(store)
     reader, writer, nobody = (Session((SpaceGrant(1, READ_ONLY), SpaceGrant(1, ADMIN))), Session((SpaceGrant(1, READ_WRITE),)), Session())
