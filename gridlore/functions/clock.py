@@ -25,6 +25,11 @@ def to_coord(packed: Column) -> Column:
     return F.shiftrightunsigned(packed, 32)
 
 
+def earlier(a_physical: Column, a_logical: Column, b_physical: Column, b_logical: Column) -> Column:
+    """Whether timestamp a comes before b: by physical part, then logical; packed timestamps compare as numbers."""
+    return (a_physical < b_physical) | ((a_physical == b_physical) & (a_logical < b_logical))
+
+
 def tick_sequence(df: DataFrame, *, now: str, order: list[str], node: list[str]) -> DataFrame:
     """Adds (physical_ms, logical) after each local event, in order, of a clock per ``node``.
 

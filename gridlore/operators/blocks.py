@@ -46,9 +46,17 @@ def apply_retention(df: DataFrame, policy: RetentionPolicy, key: list[str] | Non
     return out
 
 
+def field_text(value: Column) -> Column:
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value))
+
+
 def block_checksums(df: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
-    """SHA-256 of each block's rows in order; a block is bounded by its configuration."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
+    """SHA-256 of each block's rows in order; a block is bounded by its configuration.
+
+    A field is written as its length in bytes, a colon and its text, null as a minus sign, so that different
+    rows have different texts.
+    """
+    text = F.concat(*[field_text(F.col(c).cast("string")) for c in fields])
     rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("__row"))))
     return df.groupBy("block_id").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["__row"]), "\n"), 256).alias("checksum"))
 

@@ -71,6 +71,11 @@ def delta(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     return missing_blocks(source, target), missing_blocks(target, source).select("block_id")
 
 
+def delta_is_empty(added: DataFrame, removed: DataFrame) -> bool:
+    """Whether nothing is to be given and nothing to be dropped."""
+    return added.isEmpty() and removed.isEmpty()
+
+
 def apply_delta(current: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """(current - removed) + added; an added block replaces one of the same id."""
     gone = removed.select("block_id").union(added.select("block_id")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,39 @@ def levels(leaves: DataFrame) -> DataFrame:
     return out
 
 
+#: Levels that one exchange folds: a group has at most 2 ** STEP nodes.
+STEP = 6
+
+
+def zero_hashes(n: int) -> list[str]:
+    """Hash of a tree of zero leaves of each height up to ``n``."""
+    out = [ZERO]
+    while len(out) <= n:
+        out.append(hashlib.sha256(bytes.fromhex(out[-1]) * 2).hexdigest())
+    return out
+
+
 def root(leaves: DataFrame) -> DataFrame:
-    """The one row of the top level."""
-    tree = levels(leaves)
-    top = tree.agg(F.max("level").alias("level"))
-    return tree.join(F.broadcast(top), "level").select("hash")
+    """The one row of the top level of ``levels``, from the leaves there are.
+
+    A group of 64 neighbours folds into its common ancestor in one step; what holds no leaf has a known
+    hash, so padding costs nothing, whatever the largest index.
+    """
+    n = leaves.agg(F.max("idx")).first()[0]
+    if n is None:
+        return levels(leaves).select("hash")
+    height, zero = (padded_size(n + 1) - 1).bit_length(), zero_hashes(64)
+    now, done = leaves.select("idx", "hash"), 0
+    while done < height:
+        step = min(STEP, height - done)
+        place = F.col("idx").bitwiseAND(F.lit((1 << step) - 1))
+        group = now.groupBy(F.shiftright("idx", step).alias("up")).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("k"), "hash"))).alias("at"))
+        nodes = F.transform(F.sequence(F.lit(0), F.lit((1 << step) - 1)), lambda k: F.coalesce(F.element_at("at", k), F.lit(zero[done])))
+        folded = group.withColumn("nodes", nodes)
+        for k in range(step - 1, -1, -1):
+            folded = folded.withColumn("nodes", F.transform(F.sequence(F.lit(0), F.lit((1 << k) - 1)), lambda i: hash_pair(F.get("nodes", 2 * i), F.get("nodes", 2 * i + 1))))
+        now, done = folded.select(F.col("up").alias("idx"), F.get("nodes", F.lit(0)).alias("hash")), done + step
+    return now.select("hash")
 
 
 def diff_leaves(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def apply_results(outbox: DataFrame, due: DataFrame, results: DataFrame, now_ms:
     again = F.col("__due") & F.coalesce(F.col("result"), F.lit("retry")).eqNullSafe("retry")
     attempts = F.when(again, F.col("attempts") + 1).otherwise(F.col("attempts"))
     waited = F.when(again, F.lit(now_ms) + backoff_ms(F.col("attempts") + 1)).otherwise(F.col("next_attempt_at_ms"))
-    error = F.when(again, F.coalesce("error", F.lit("missing per-item sync result"))).otherwise(F.col("last_error"))
+    error = F.when(again, F.coalesce("error", F.lit("no result for this operation"))).otherwise(F.col("last_error"))
     kept = joined.where(F.col("__due").isNull() | again)
     return kept.select(*[{"attempts": attempts.cast("int").alias("attempts"), "next_attempt_at_ms": waited.cast("long").alias("next_attempt_at_ms"), "last_error": error.alias("last_error")}.get(c, F.col(c)) for c in outbox.columns])
 

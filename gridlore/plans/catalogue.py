@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import clock, ordinal
 from gridlore.functions.hilbert import CompositeKey, covering_ranges, hilbert_key, hilbert_point, key_of, quantize
 from gridlore.model import CompactionConfig, RetentionPolicy
+from gridlore.model import Query as ReadQuery
 from gridlore.operators import blocks, join, merkle, order, outbox, scan, sync
 from gridlore.sources.bindings import BLOCK, EV_KEY, LI_KEY, PT_KEY, event_state, events, lineitems, nested, parts, table
 
@@ -22,9 +23,14 @@ STATE = EV + ", st AS (SELECT *, CASE WHEN revision <= floor(0.8 * (SELECT max(r
 SHOWN = ["c0", "c1", "revision", "event_type", "value"]
 SHOWN_SQL = ", ".join(SHOWN)
 LIVE = "SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY revision DESC) AS rn FROM ev"
-AS_OF = 700
-#: Hundredths of the largest revision: of the as-of reads beside those at AS_OF, and of a fork.
+#: Hundredths of the largest revision: of as-of reads, and of a fork.
 AS_OF_SHARE, FORKED = 70, 30
+AS_OF = f"(SELECT {AS_OF_SHARE} * max(revision) // 100 FROM ev)"
+
+
+def _revision_at(versions: DataFrame, share: int = AS_OF_SHARE) -> int:
+    """The revision at so many hundredths of the largest one."""
+    return share * (versions.agg(F.max("revision")).first()[0] or 0) // 100
 
 
 def query(name: str, sql: str | None):
@@ -40,8 +46,8 @@ def query(name: str, sql: str | None):
 # ---- scans
 
 @query("scan_versions_asof", f"WITH {EV} SELECT {SHOWN_SQL} FROM ev WHERE revision <= {AS_OF} AND NOT tombstone")
-def scan_versions_asof(spark, sf, as_of=AS_OF):
-    return scan.scan_versions(events(spark, sf), as_of).select(*SHOWN)
+def scan_versions_asof(spark, sf):
+    return scan.scan_versions(events(spark, sf), _revision_at(events(spark, sf))).select(*SHOWN)
 
 
 @query("scan_live_latest", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT tombstone")
@@ -50,13 +56,13 @@ def scan_live_latest(spark, sf):
 
 
 @query("scan_live_asof", f"WITH {EV}, l AS ({LIVE} WHERE revision <= {AS_OF}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT tombstone")
-def scan_live_asof(spark, sf, as_of=AS_OF):
-    return scan.scan_live(events(spark, sf), EV_KEY, as_of).select(*SHOWN)
+def scan_live_asof(spark, sf):
+    return scan.scan_live(events(spark, sf), EV_KEY, _revision_at(events(spark, sf))).select(*SHOWN)
 
 
 @query("scan_include_tombstones", f"WITH {EV} SELECT {SHOWN_SQL}, tombstone FROM ev WHERE revision <= {AS_OF}")
-def scan_include_tombstones(spark, sf, as_of=AS_OF):
-    return scan.scan_versions(events(spark, sf), as_of, tombstones=True).select(*SHOWN, "tombstone")
+def scan_include_tombstones(spark, sf):
+    return scan.scan_versions(events(spark, sf), _revision_at(events(spark, sf)), tombstones=True).select(*SHOWN, "tombstone")
 
 
 @query("scan_live_with_tombstones", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL}, tombstone FROM l WHERE rn = 1")
@@ -65,8 +71,8 @@ def scan_live_with_tombstones(spark, sf):
 
 
 @query("scan_buffered_antijoin", f"WITH {EV} SELECT {SHOWN_SQL} FROM ev e WHERE NOT tombstone AND revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM ev t WHERE t.tombstone AND t.revision <= {AS_OF} AND t.c0 = e.c0 AND t.c1 = e.c1)")
-def scan_buffered_antijoin(spark, sf, as_of=AS_OF):
-    return scan.scan_buffered(events(spark, sf), EV_KEY, as_of).select(*SHOWN)
+def scan_buffered_antijoin(spark, sf):
+    return scan.scan_buffered(events(spark, sf), EV_KEY, _revision_at(events(spark, sf))).select(*SHOWN)
 
 
 @query("scan_faithful_sealed_buffer", f"WITH {STATE} SELECT {SHOWN_SQL} FROM st e WHERE NOT tombstone AND NOT EXISTS (SELECT 1 FROM st t WHERE t.tombstone AND t.state = 'buffered' AND t.c0 = e.c0 AND t.c1 = e.c1)")
@@ -88,8 +94,8 @@ def bbox_3d(spark, sf):
 
 
 @query("bbox_asof_live", f"WITH {EV}, l AS ({LIVE} WHERE revision <= {AS_OF} AND c0 BETWEEN 0 AND 40 AND c1 BETWEEN 0 AND 11) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT tombstone")
-def bbox_asof_live(spark, sf, as_of=AS_OF):
-    return scan.scan_live(events(spark, sf).where(scan.within(EV_KEY, (0, 0), (40, 11))), EV_KEY, as_of).select(*SHOWN)
+def bbox_asof_live(spark, sf):
+    return scan.scan_live(events(spark, sf).where(scan.within(EV_KEY, (0, 0), (40, 11))), EV_KEY, _revision_at(events(spark, sf))).select(*SHOWN)
 
 
 @query("subscope_parent", "SELECT l_orderkey AS c0, CAST(l_linenumber AS BIGINT) AS c1, l_partkey AS part, l_quantity FROM lineitem WHERE l_orderkey = 3")
@@ -131,9 +137,9 @@ def asof_join(spark, sf):
     return join.asof_join(probes, ev, EV_KEY, at="at", payload=["tombstone", "value"])
 
 
-@query("parent_equijoin", "SELECT o_orderkey AS order_key, o_orderstatus AS status, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
+@query("parent_equijoin", "SELECT o_orderkey AS order_key, o_orderstatus AS status, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def parent_equijoin(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
     return join.parent_join(orders, nested(spark, sf), [("order_key", "c0")]).select("order_key", "status", F.col("c1").alias("line"), "part")
 
 
@@ -169,8 +175,7 @@ def _sql_hilbert(source: str, dims: int, bits: int, out: str) -> str:
 
 
 PT_POINTS = "SELECT DISTINCT CAST(p_size AS BIGINT) AS x0, CAST(substr(p_brand, 7) AS BIGINT) AS x1 FROM part"
-LI_POINTS = "SELECT DISTINCT l_partkey AS x0, l_suppkey AS x1, CAST(l_quantity AS BIGINT) AS x2 FROM lineitem WHERE l_linenumber = 1"
-ALL_LI_POINTS = "SELECT DISTINCT l_partkey AS x0, l_suppkey AS x1, CAST(l_quantity AS BIGINT) AS x2 FROM lineitem"
+LI_POINTS = "SELECT DISTINCT l_partkey AS x0, l_suppkey AS x1, CAST(l_quantity AS BIGINT) AS x2 FROM lineitem"
 PT_KEYED = "SELECT o0 AS c0, o1 AS c1, hkey FROM keyed"
 
 
@@ -185,11 +190,6 @@ def hilbert_encode_2d(spark, sf):
 
 @query("hilbert_encode_3d", _sql_hilbert(LI_POINTS, 3, 8, "SELECT o0 AS c0, o1 AS c1, o2 AS c2, hkey FROM keyed"))
 def hilbert_encode_3d(spark, sf):
-    return _li_keys(lineitems(spark, sf).where("line = 1"))
-
-
-@query("hilbert_encode_3d_all", _sql_hilbert(ALL_LI_POINTS, 3, 8, "SELECT o0 AS c0, o1 AS c1, o2 AS c2, hkey FROM keyed"))
-def hilbert_encode_3d_all(spark, sf):
     return _li_keys(lineitems(spark, sf))
 
 
@@ -303,13 +303,8 @@ def format_bytes(spark, sf):
 
 # ---- numbering, log
 
-@query("revision_assignment", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 5000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS revision FROM lineitem WHERE l_quantity < 10")
+@query("revision_assignment", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 5000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS revision FROM lineitem")
 def revision_assignment(spark, sf):
-    return _numbered(table(spark, sf, "lineitem").where("l_quantity < 10"))
-
-
-@query("revision_assignment_all", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 5000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS revision FROM lineitem")
-def revision_assignment_all(spark, sf):
     return _numbered(table(spark, sf, "lineitem"))
 
 
@@ -354,20 +349,27 @@ def block_fill_factor(spark, sf):
 
 
 @query("block_has_live_at", f"WITH {EV} SELECT block_id, bool_or(revision <= {AS_OF} AND NOT tombstone) AS has_live FROM ev GROUP BY block_id")
-def block_has_live_at(spark, sf, as_of=AS_OF):
-    return blocks.has_live_at(events(spark, sf), as_of)
+def block_has_live_at(spark, sf):
+    return blocks.has_live_at(events(spark, sf), _revision_at(events(spark, sf)))
+
+
+EV_POINTS = "SELECT DISTINCT user_id AS x0, CAST(hour(ts) AS BIGINT) AS x1 FROM events"
+EV_MIN_KEYS = "min(hkey) AS hkey_min FROM events e JOIN keyed k ON k.o0 = e.user_id AND k.o1 = hour(e.ts) GROUP BY e.event_id // 256"
 
 
-@query("block_min_key", f"WITH {EV} SELECT block_id, min((c0 & 255) * 256 + (c1 & 255)) AS first_key FROM ev GROUP BY block_id")
+def _min_keys(spark, sf):
+    key = hilbert_key([F.col("c0"), F.col("c1")], 8)
+    return events(spark, sf).groupBy("block_id").agg(F.min(key).alias("hkey_min"))
+
+
+@query("block_min_key", _sql_hilbert(EV_POINTS, 2, 8, f"SELECT e.event_id // 256 AS block_id, {EV_MIN_KEYS}"))
 def block_min_key(spark, sf):
-    key = F.col("c0").bitwiseAND(F.lit(255)) * 256 + F.col("c1").bitwiseAND(F.lit(255))
-    return events(spark, sf).groupBy("block_id").agg(F.min(key).cast("long").alias("first_key"))
+    return _min_keys(spark, sf)
 
 
-@query("block_coverage", f"WITH {EV}, b AS (SELECT block_id, min(c0) AS hkey_min FROM ev GROUP BY block_id) SELECT block_id, hkey_min, lead(hkey_min) OVER (ORDER BY hkey_min, block_id) AS next_hkey FROM b")
+@query("block_coverage", _sql_hilbert(EV_POINTS, 2, 8, f", b AS (SELECT e.event_id // 256 AS block_id, {EV_MIN_KEYS}) SELECT block_id, hkey_min, lead(hkey_min) OVER (ORDER BY hkey_min, block_id) AS next_hkey FROM b"))
 def block_coverage(spark, sf):
-    b = events(spark, sf).groupBy("block_id").agg(F.min("c0").alias("hkey_min")).withColumn("space", F.lit(1))
-    return order.coverage_gaps(b).drop("space")
+    return order.coverage_gaps(_min_keys(spark, sf).withColumn("space", F.lit(1))).drop("space")
 
 
 @query("compact_keep_history", f"WITH {EV}, n AS (SELECT *, (row_number() OVER (ORDER BY c0, c1, revision) - 1) // 1000 AS block_no FROM ev) SELECT block_no, count(*) AS n_rows, min(revision) AS min_revision, max(revision) AS max_revision, min(c0) AS first_c0 FROM n GROUP BY block_no")
@@ -443,7 +445,7 @@ def memory_stats(spark, sf):
     return blocks.memory_stats(st.where("state = 'buffered'"), sealed, sealed.select("block_id").distinct(), F.octet_length("event_type"))
 
 
-ROW_SQL = "c0 || '|' || c1 || '|' || revision || '|' || event_type"
+ROW_SQL = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("c0", "c1", "revision", "event_type"))
 
 
 @query("checksum_per_block", f"WITH {EV} SELECT block_id, sha256(string_agg({ROW_SQL}, chr(10) ORDER BY revision)) AS checksum FROM ev GROUP BY block_id")
@@ -453,7 +455,7 @@ def checksum_per_block(spark, sf):
 
 # ---- trees
 
-LEAVES_SQL = f"leaves AS (SELECT block_id % 64 AS idx, sha256(string_agg({ROW_SQL}, chr(10) ORDER BY revision)) AS hash FROM ev GROUP BY block_id % 64)"
+LEAVES_SQL = f"leaves AS (SELECT block_id AS idx, sha256(string_agg({ROW_SQL}, chr(10) ORDER BY revision)) AS hash FROM ev GROUP BY block_id)"
 ZERO_SQL = "repeat('0', 64)"
 TREE_SQL = f"""sz AS (SELECT CAST(2 ** ceil(log2(max(idx) + 1)) AS BIGINT) AS n FROM leaves),
 padded AS (SELECT i AS idx, coalesce(hash, {ZERO_SQL}) AS hash FROM (SELECT unnest(range(n)) AS i FROM sz) LEFT JOIN leaves ON idx = i),
@@ -462,8 +464,7 @@ tree AS (SELECT 0 AS level, idx, hash FROM padded UNION ALL
 
 
 def _leaves(spark, sf):
-    grouped = events(spark, sf).withColumn("block_id", F.col("block_id") % 64)
-    return blocks.block_checksums(grouped, ["revision"], ["c0", "c1", "revision", "event_type"]).select(F.col("block_id").alias("idx"), F.col("checksum").alias("hash"))
+    return blocks.block_checksums(events(spark, sf), ["revision"], ["c0", "c1", "revision", "event_type"]).select(F.col("block_id").alias("idx"), F.col("checksum").alias("hash"))
 
 
 @query("merkle_level_hashes", f"WITH RECURSIVE {EV}, {LEAVES_SQL}, {TREE_SQL} SELECT CAST(level AS INTEGER) AS level, idx, hash FROM tree")
@@ -535,7 +536,7 @@ def outbox_due_batch(spark, sf):
 @query("outbox_apply_results", f"""WITH {OUTBOX_SQL}, j AS (SELECT ob.*, due.op_id IS NOT NULL AS d, coalesce(rs.result, 'retry') AS r, rs.error FROM ob LEFT JOIN due ON due.op_id = ob.op_id LEFT JOIN rs ON rs.op_id = ob.op_id)
 SELECT op_id, CAST(CASE WHEN d THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts,
   CAST(CASE WHEN d THEN 60000 + least(1000 * (1 << CAST(least(attempts + 1, 6) AS INTEGER)), 60000) ELSE next_attempt_at_ms END AS BIGINT) AS next_attempt_at_ms,
-  CASE WHEN d THEN coalesce(error, 'missing per-item sync result') ELSE last_error END AS last_error
+  CASE WHEN d THEN coalesce(error, 'no result for this operation') ELSE last_error END AS last_error
 FROM j WHERE NOT d OR r = 'retry'""")
 def outbox_apply_results(spark, sf):
     ob, due, results = _outbox(spark, sf)
@@ -553,15 +554,8 @@ def outbox_pending_count(spark, sf):
     return _outbox(spark, sf)[0].agg(F.count("*").alias("pending"))
 
 
-@query("lww_conflict_stale", f"WITH {STATE}, r AS (SELECT c0, c1, max(revision) AS remote_revision FROM st WHERE state = 'buffered' GROUP BY c0, c1) SELECT s.c0, s.c1, s.revision, r.remote_revision FROM st s JOIN r ON r.c0 = s.c0 AND r.c1 = s.c1 WHERE s.state = 'sealed' AND s.revision % 10 = 0 AND r.remote_revision > s.revision")
+@query("lww_conflict_stale", f"WITH {STATE}, r AS (SELECT c0, c1, max(revision) AS remote_revision FROM st WHERE state = 'buffered' GROUP BY c0, c1) SELECT s.c0, s.c1, s.revision, r.remote_revision FROM st s JOIN r ON r.c0 = s.c0 AND r.c1 = s.c1 WHERE s.state = 'sealed' AND r.remote_revision > s.revision")
 def lww_conflict_stale(spark, sf):
-    st = event_state(spark, sf)
-    pending = st.where("state = 'sealed' AND revision % 10 = 0").select("c0", "c1", "revision")
-    return outbox.stale(pending, st.where("state = 'buffered'").select("c0", "c1", "revision"), EV_KEY)
-
-
-@query("lww_conflict_stale_all", f"WITH {STATE}, r AS (SELECT c0, c1, max(revision) AS remote_revision FROM st WHERE state = 'buffered' GROUP BY c0, c1) SELECT s.c0, s.c1, s.revision, r.remote_revision FROM st s JOIN r ON r.c0 = s.c0 AND r.c1 = s.c1 WHERE s.state = 'sealed' AND r.remote_revision > s.revision")
-def lww_conflict_stale_all(spark, sf):
     st = event_state(spark, sf).select("c0", "c1", "revision", "state")
     return outbox.stale(st.where("state = 'sealed'").drop("state"), st.where("state = 'buffered'").drop("state"), EV_KEY)
 
@@ -597,39 +591,102 @@ def branch_lineage(spark, sf):
     return lineage(values(spark, BRANCH_ROWS, ["id", "name", "head", "parent", "forked_at"], ["BIGINT", "STRING", "BIGINT", "BIGINT", "BIGINT"]))
 
 
-@query("branch_read_at_fork", f"WITH {EV}, u AS (SELECT c0, c1, revision, tombstone FROM ev WHERE revision <= 300 UNION ALL SELECT c0, c1, revision, tombstone FROM ev WHERE revision BETWEEN 301 AND 900 AND revision % 9 = 0), l AS (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY revision DESC) AS rn FROM u) SELECT c0, c1, revision FROM l WHERE rn = 1 AND NOT tombstone")
+FORKED_SQL = f"(SELECT {FORKED} * max(revision) // 100 FROM ev)"
+
+
+@query("branch_read_at_fork", f"WITH {EV}, u AS (SELECT c0, c1, revision, tombstone FROM ev WHERE revision <= {FORKED_SQL} UNION ALL SELECT c0, c1, revision, tombstone FROM ev WHERE revision > {FORKED_SQL}), l AS (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY revision DESC) AS rn FROM u) SELECT c0, c1, revision FROM l WHERE rn = 1 AND NOT tombstone")
 def branch_read_at_fork(spark, sf):
     from gridlore.operators.branch import read_branch
 
     ev = events(spark, sf).select("c0", "c1", "revision", "tombstone")
-    return read_branch(ev, ev.where("revision BETWEEN 301 AND 900 AND revision % 9 = 0"), EV_KEY, forked_at=300).select("c0", "c1", "revision")
+    fork = _revision_at(ev, FORKED)
+    return read_branch(ev, ev.where(F.col("revision") > fork), EV_KEY, forked_at=fork).select("c0", "c1", "revision")
 
 
-FORKED_SQL = f"(SELECT {FORKED} * max(revision) // 100 FROM ev)"
+# ---- the store: what is written through it is read back
 
+def _stored(spark, sf, flush: bool = True, **given):
+    """A store in a scratch folder with all events as one space, written in their order, so that revisions are theirs."""
+    from gridlore.model import SpaceConfig
+    from gridlore.sources.store import GridStore
+    from gridlore.streaming.state import scratch
 
-@query("branch_read_at_fork_all", f"WITH {EV}, u AS (SELECT c0, c1, revision, tombstone FROM ev WHERE revision <= {FORKED_SQL} UNION ALL SELECT c0, c1, revision, tombstone FROM ev WHERE revision > {FORKED_SQL}), l AS (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY revision DESC) AS rn FROM u) SELECT c0, c1, revision FROM l WHERE rn = 1 AND NOT tombstone")
-def branch_read_at_fork_all(spark, sf):
-    from gridlore.operators.branch import read_branch
+    store = GridStore(spark, scratch(spark, "store"), **given)
+    store.register_space(SpaceConfig(1, "events", 2))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("c0"), F.hour("ts").cast("long").alias("c1"), "event_id", "event_type", "value")
+    store.insert(1, rows, order=["event_id"])
+    if flush:
+        store.flush(1, rows_per_block=max(1, rows.count() // 8))
+    return store, rows
 
-    ev = events(spark, sf).select("c0", "c1", "revision", "tombstone")
-    fork = _revision_at(ev, FORKED)
-    return read_branch(ev, ev.where(F.col("revision") > fork), EV_KEY, forked_at=fork).select("c0", "c1", "revision")
 
+STORED = ["c0", "c1", "revision", "event_type", "value"]
 
-def _revision_at(versions: DataFrame, share: int) -> int:
-    """The revision at so many hundredths of the largest one."""
-    return share * (versions.agg(F.max("revision")).first()[0] or 0) // 100
 
+@query("store_delete_read", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM ev t WHERE t.tombstone AND t.c0 = l.c0 AND t.c1 = l.c1)")
+def store_delete_read(spark, sf):
+    """Insert and flush all, delete every address that ever had an error, read the current state."""
+    store, rows = _stored(spark, sf)
+    store.delete(1, rows.where("event_type = 'error'").select("c0", "c1").distinct())
+    return store.read(ReadQuery(1)).select(*STORED)
+
+
+@query("store_box_read", f"WITH {EV} SELECT {SHOWN_SQL} FROM ev WHERE revision <= {AS_OF} AND c0 BETWEEN 3 AND 40 AND c1 BETWEEN 2 AND 11")
+def store_box_read(spark, sf):
+    """A box as of a revision, from the blocks whose keys may lie in it, each verified by its checksum."""
+    store, _ = _stored(spark, sf)
+    box = ReadQuery(1).with_box((3, 2), (40, 11)).at(_revision_at(events(spark, sf)))
+    return store.read(box, mode="versions", verify=True).select(*STORED)
+
+
+@query("store_compact_read", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1")
+def store_compact_read(spark, sf):
+    """Compacted to the latest version of each address; the blocks before are deleted."""
+    store, _ = _stored(spark, sf)
+    store.compact(1, CompactionConfig(4096, retain_history=False))
+    store.vacuum(1)
+    return store.sealed(1).select(*STORED)
+
+
+@query("store_block_listing", "SELECT CAST(count(*) AS BIGINT) AS n_rows, min(event_id) + 1 AS min_revision, max(event_id) + 1 AS max_revision, CAST(1 AS BIGINT) AS snapshot_id FROM events")
+def store_block_listing(spark, sf):
+    store, _ = _stored(spark, sf)
+    return store.manifest(1).agg(F.sum("n_rows").alias("n_rows"), F.min("min_revision").alias("min_revision"), F.max("max_revision").alias("max_revision"), F.max("snapshot_id").alias("snapshot_id"))
+
+
+@query("store_dispatch", f"WITH {EV}, l AS ({LIVE}) SELECT {SHOWN_SQL} FROM l WHERE rn = 1")
+def store_dispatch(spark, sf):
+    """The unflushed buffer, read by request under a session that may only read."""
+    from gridlore.model import READ_ONLY, Session, SpaceGrant
+    from gridlore.server import Read, dispatch, handlers_of
+
+    store, _ = _stored(spark, sf, flush=False)
+    return dispatch(Read(ReadQuery(1)), Session((SpaceGrant(1, READ_ONLY),)), handlers_of(store)).value.select(*STORED)
+
+
+@query("store_writes_replicated", "SELECT count(*) AS pending, min(event_id) + 1 AS first_op, max(event_id) + 1 AS last_op FROM events")
+def store_writes_replicated(spark, sf):
+    """Every version written is an operation of the outbox."""
+    from gridlore.streaming.replicate import Outbox
+    from gridlore.streaming.state import scratch
+
+    queue = Outbox(spark, scratch(spark, "queue"))
+    _stored(spark, sf, flush=False, on_write=lambda space, versions: queue.enqueue(versions, 0))
+    return queue.load().agg(F.count("*").alias("pending"), F.min("op_id").alias("first_op"), F.max("op_id").alias("last_op"))
 
-def _at_share(read: Callable[..., DataFrame]) -> None:
-    """Registers an as-of query also at a share of the revisions, whatever the size of the table."""
-    sql = ORACLES[read.__name__].replace(f"<= {AS_OF}", f"<= (SELECT {AS_OF_SHARE} * max(revision) // 100 FROM ev)")
-    query(f"{read.__name__}_share", sql)(lambda spark, sf: read(spark, sf, _revision_at(events(spark, sf), AS_OF_SHARE)))
 
+@query("store_spaces", f"WITH s(id, name, dims) AS (VALUES {sql_values(SPACE_ROWS)}) SELECT CAST(id AS BIGINT) AS id, name, CAST(dims AS INTEGER) AS dims FROM s WHERE id <> 2")
+def store_spaces(spark, sf):
+    """Spaces registered and one removed, in the store's catalog."""
+    from gridlore.model import SpaceConfig
+    from gridlore.sources.store import GridStore
+    from gridlore.streaming.state import scratch
 
-for _read in (scan_versions_asof, scan_live_asof, scan_include_tombstones, scan_buffered_antijoin, bbox_asof_live, block_has_live_at):
-    _at_share(_read)
+    store = GridStore(spark, scratch(spark, "store"))
+    for row in SPACE_ROWS:
+        store.register_space(SpaceConfig(*row))
+    store.remove_space(2)
+    return store.spaces()
 
 
 # ---- streams; what they leave is compared as a batch

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from gridlore.operators.outbox import apply_results, due_batch, sync_report
+from gridlore.operators.outbox import apply_results, due_batch, first_results, sync_report
 from gridlore.storage import cut
 from gridlore.streaming.state import read_log, scratch, state_path
 
 #: Takes the due operations, gives (op_id, position, result, error).
 Transport = Callable[[DataFrame], DataFrame]
+STATUS = "at_ms long, acked long, error string"
 REPORT = "attempted long, acked long, retried long, dropped_stale long"
 
 
@@ -68,8 +69,18 @@ class Outbox:
         report = sync_report(due, results).first().asDict()
         if report["attempted"]:
             self._save(apply_results(df, due, results, now))
+            error = first_results(results).where(F.col("error").isNotNull()).agg(F.min_by("error", "op_id")).first()[0]
+            self.spark.createDataFrame([(now, report["acked"], error)], STATUS).coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
         return report
 
+    def status(self) -> dict[str, object]:
+        """Time of the last step that had an acknowledgement, error of the last step if it had one, and what waits."""
+        last = (None, None)
+        if state_path(self.spark, self.folder, name="status", versioned=False):
+            steps = self.spark.read.schema(STATUS).parquet(f"{self.folder}/status")
+            last = steps.agg(F.max(F.when(F.col("acked") > 0, F.col("at_ms"))), F.max_by(F.struct("error"), "at_ms")["error"]).first()
+        return {"last_success_ms": last[0], "last_error": last[1], "pending": self.pending()}
+
 
 def run_outbox(versions: DataFrame, transport: Transport, folder: str, *, most: int = 100_000, interval: str | None = None) -> StreamingQuery:
     """Enqueues every micro-batch of a stream and pushes what is due; reports go to ``folder/reports/<batch>``."""

@@ -47,16 +47,18 @@ def maintain_latest(stream: DataFrame, key: list[str], folder: str, *, interval:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def state_path(spark: SparkSession, folder: str, before: int | None = None) -> str | None:
-    """The newest complete state, or the newest of a batch below ``before``."""
+def state_path(spark: SparkSession, folder: str, before: int | None = None, *, name: str = "state", versioned: bool = True) -> str | None:
+    """The newest complete state, or the newest of a batch below ``before``; a folder without versions is itself."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return None
+    if not versioned:
+        return f"{folder}/{name}"
     numbers = [int(s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     numbers = [n for n in numbers if before is None or n < before]
-    return f"{folder}/state/{max(numbers)}" if numbers else None
+    return f"{folder}/{name}/{max(numbers)}" if numbers else None
 
 
 def latest_from_log(spark: SparkSession, path: str, schema: StructType, project: Project, key: list[str]) -> DataFrame:
@@ -68,21 +70,49 @@ def latest_from_log(spark: SparkSession, path: str, schema: StructType, project:
     return spark.read.schema(shaped.schema).parquet(found) if found else spark.createDataFrame([], shaped.schema)
 
 
+CLOCK = "node long, now long, physical_ms long, logical int"
+COLUMNS = ["node", "now", "physical_ms", "logical"]
+
+
+def _clock(events: DataFrame, columns: dict[str, str], move: Callable[[tuple[int, int], tuple], tuple[int, int]]) -> DataFrame:
+    """A clock per node as keyed state, moved by each event of a micro-batch in the order of its columns."""
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = state.get if state.exists else (0, 0)
+        # a node's events of one micro-batch: three numbers each, of all its frames
+        waiting = sorted(x for frame in frames for x in zip(*(frame[c].astype(int).tolist() for c in list(columns)[1:])))
+        rows = []
+        for event in waiting:
+            at = move(at, event)
+            rows.append((key[0], event[0], *at))
+        state.update(at)
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+    slim = events.select(*[F.col(c).cast("long").alias(a) for a, c in columns.items()])
+    return slim.groupBy("node").applyInPandasWithState(advance, CLOCK, "physical long, logical int", "append", GroupStateTimeout.NoTimeout)
+
+
+def ticked(at: tuple[int, int], event: tuple) -> tuple[int, int]:
+    physical, logical = at
+    return (event[0], 0) if event[0] > physical else (physical, min(logical + 1, MOST_LOGICAL))
+
+
+def received(at: tuple[int, int], event: tuple) -> tuple[int, int]:
+    """The clock after a message: past its own time, the wall clock and the message's, with a count within one value."""
+    (physical, logical), (wall, remote, count) = at, event
+    top = max(physical, wall, remote)
+    same = [c for p, c in ((physical, logical), (remote, count)) if p == top]
+    return top, min(max(same) + 1, MOST_LOGICAL) if same else 0
+
+
 def tick_stream(events: DataFrame, node: str, now: str) -> DataFrame:
-    """(node, now, physical_ms, logical) of a stream: a hybrid logical clock per node as keyed state.
+    """(node, now, physical_ms, logical) of a stream of local events: a hybrid logical clock per node as keyed state.
 
-    Events of a node are taken in the order of their wall clock inside a micro-batch.
+    Events of a node are taken in the order of their wall clock inside a micro-batch, whatever its frames.
     """
+    return _clock(events, {"node": node, "now": now}, ticked)
 
-    def tick(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        physical, logical = state.get if state.exists else (0, 0)
-        rows = []
-        for frame in frames:
-            for wall in sorted(int(x) for x in frame[now]):
-                physical, logical = (wall, 0) if wall > physical else (physical, min(logical + 1, MOST_LOGICAL))
-                rows.append((key[0], wall, physical, logical))
-        state.update((physical, logical))
-        yield pd.DataFrame(rows, columns=["node", "now", "physical_ms", "logical"])
-
-    slim = events.select(F.col(node).cast("long").alias("node"), F.col(now).cast("long").alias(now))
-    return slim.groupBy("node").applyInPandasWithState(tick, "node long, now long, physical_ms long, logical int", "physical long, logical int", "append", GroupStateTimeout.NoTimeout)
+
+def receive_stream(messages: DataFrame, node: str, now: str, remote_ms: str, remote_logical: str) -> DataFrame:
+    """tick_stream for messages received, each with the sender's clock; ordered by wall clock, then that."""
+    return _clock(messages, {"node": node, "now": now, "remote": remote_ms, "count": remote_logical}, received)

@@ -47,12 +47,12 @@ def test_entry_is_the_current_state(spark):
 
 def test_every_lineitem_gets_a_revision(spark, sf):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    assert sorted(r["revision"] for r in QUERIES["revision_assignment_all"](spark, sf).collect()) == list(range(5001, 5001 + n))
+    assert sorted(r["revision"] for r in QUERIES["revision_assignment"](spark, sf).collect()) == list(range(5001, 5001 + n))
 
 
 def test_every_lineitem_point_gets_a_key(spark, sf):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_partkey", "l_suppkey", "l_quantity").distinct().count()
-    assert QUERIES["hilbert_encode_3d_all"](spark, sf).count() == n
+    assert QUERIES["hilbert_encode_3d"](spark, sf).count() == n
 
 
 def test_every_overtaken_write_is_judged_and_reads_grow_with_the_log(spark, sf):
@@ -63,12 +63,12 @@ def test_every_overtaken_write_is_judged_and_reads_grow_with_the_log(spark, sf):
     for k, r, _ in ev:
         if r > sealed:
             newest[k] = max(r, newest.get(k, 0))
-    got = QUERIES["lww_conflict_stale_all"](spark, sf).collect()
+    got = QUERIES["lww_conflict_stale"](spark, sf).collect()
     assert sorted((r["c0"], r["c1"], r["revision"], r["remote_revision"]) for r in got) == sorted((*k, r, newest[k]) for k, r, _ in ev if r <= sealed and k in newest)
     live = {k: (r, gone) for k, r, gone in sorted(ev, key=lambda x: x[1])}
-    got = QUERIES["branch_read_at_fork_all"](spark, sf).collect()
+    got = QUERIES["branch_read_at_fork"](spark, sf).collect()
     assert sorted((r["c0"], r["c1"], r["revision"]) for r in got) == sorted((*k, r) for k, (r, gone) in live.items() if not gone)
-    assert QUERIES["scan_include_tombstones_share"](spark, sf).count() == int(0.7 * most)
+    assert QUERIES["scan_include_tombstones"](spark, sf).count() == int(0.7 * most)
 
 
 def test_a_branch_hides_its_base_after_the_fork(spark):

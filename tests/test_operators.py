@@ -3,11 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridlore.functions import clock
 from gridlore.model import BadShape, CompactionConfig, RetentionPolicy
 from gridlore.operators import blocks, join, merkle, order, outbox, scan
 from gridlore.operators.branch import lineage
 from gridlore.streaming.replicate import Outbox, run_outbox
-from gridlore.streaming.state import tick_stream
+from gridlore.streaming.state import receive_stream, tick_stream
 
 V = "c0 long, revision long, tombstone boolean"
 
@@ -85,6 +86,23 @@ def test_merkle(spark):
     assert rows(merkle.diff_leaves(leaves(1, 2, 3, 4, 5), leaves(1, 2, 3)), "idx") == [(3,), (4,)]
     assert merkle.root(spark.createDataFrame([], "idx long, hash string")).first()[0] == merkle.ZERO
     assert merkle.levels(a).count() == 7
+    for n in (1, 2, 3, 5, 64, 65, 200):
+        some = spark.createDataFrame([(i, h(i * 7)) for i in range(n) if i % 3 != 1 or i == n - 1], "idx long, hash string")
+        tree = merkle.levels(some)
+        assert merkle.root(some).first()[0] == tree.orderBy(F.col("level").desc()).first()["hash"]
+
+
+def test_checksums_tell_rows_apart(spark):
+    kinds = [[("a|b", "c")], [("a", "b|c")], [(None, "")], [("", None)], [("", "")], [("1:a", "")], [("a", "")], [("a", "b"), ("c", "d")], [("a", "b\n1:c1:d")]]
+    df = spark.createDataFrame([(i, k, *r) for i, rs in enumerate(kinds) for k, r in enumerate(rs)], "block_id long, revision long, x string, y string")
+    assert blocks.block_checksums(df, ["revision"], ["x", "y"]).select("checksum").distinct().count() == len(kinds)
+
+
+def test_small_helpers(spark):
+    pairs = spark.createDataFrame([(1, 5, 2, 0), (2, 1, 2, 1), (2, 1, 2, 3), (3, 0, 2, 9)], "a long, x int, b long, y int")
+    assert [r[0] for r in pairs.select(clock.earlier(F.col("a"), F.col("x"), F.col("b"), F.col("y"))).collect()] == [True, False, True, False]
+    a, b = (spark.createDataFrame([(i,) for i in ids], "block_id long") for ids in ([1, 2], [2, 1]))
+    assert join.delta_is_empty(*join.delta(a, b)) and not join.delta_is_empty(*join.delta(a, b.where("block_id = 1")))
 
 
 def test_delta(spark):
@@ -151,3 +169,32 @@ def test_streams(spark, tmp_path):
     ticks = tick_stream(stream.select(F.lit(1).alias("node"), F.lit(5).alias("wall")), "node", "wall")
     ticks.writeStream.format("memory").queryName("ticks").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("ticks"), "physical_ms", "logical") == [(5, i) for i in range(9)]
+
+
+def test_clocks_of_a_stream_equal_the_batch(spark, tmp_path):
+    """One micro-batch of many Arrow frames: the order is that of the whole batch."""
+    rnd = random.Random(3)
+    sent = [(i % 2, rnd.randrange(1, 50), rnd.randrange(1, 60), rnd.randrange(5)) for i in range(300)]
+    log = str(tmp_path / "log")
+    spark.createDataFrame(sent, "node long, wall long, rm long, rl int").repartition(3).write.parquet(log)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for name, made in (("t", lambda s: tick_stream(s, "node", "wall")), ("r", lambda s: receive_stream(s, "node", "wall", "rm", "rl"))):
+            made(spark.readStream.schema("node long, wall long, rm long, rl int").parquet(log)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = ["wall", "rm", "rl"]
+    df = spark.createDataFrame(sent, "node long, wall long, rm long, rl int")
+    assert rows(spark.table("t"), "node", "now", "physical_ms", "logical") == rows(clock.tick_sequence(df, now="wall", order=["wall"], node=["node"]), "node", "wall", "physical_ms", "logical")
+    want = clock.receive_sequence(df, remote_ms="rm", remote_logical="rl", now="wall", order=order, node=["node"])
+    assert rows(spark.table("r"), "node", "now", "physical_ms", "logical") == rows(want, "node", "wall", "physical_ms", "logical")
+
+
+def test_sync_status(spark, tmp_path):
+    box = Outbox(spark, str(tmp_path / "status"))
+    box.enqueue(spark.createDataFrame([(1, 1, False)], V), 0)
+    assert box.status() == {"last_success_ms": None, "last_error": None, "pending": 1}
+    box.step(respond("retry", "offline"), 1000, 9)
+    assert box.status() == {"last_success_ms": None, "last_error": "offline", "pending": 1}
+    box.step(respond("ack"), 9000, 9)
+    assert box.status() == {"last_success_ms": 9000, "last_error": None, "pending": 0}
