@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from gridlore.operators.outbox import apply_results, due_batch, first_results, sync_report
 from gridlore.storage import cut
-from gridlore.streaming.state import read_log, scratch, state_path
+from gridlore.streaming.state import prune, read_log, scratch, state_path
 
 #: Takes the due operations, gives (op_id, position, result, error).
 Transport = Callable[[DataFrame], DataFrame]
@@ -29,7 +29,7 @@ def now_ms() -> int:
 
 
 class Outbox:
-    """A durable queue of operations in ``folder/state``, one complete version after another."""
+    """A durable queue of operations in ``folder/state``, one complete version after another; the last two are kept."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: StructType | None = None):
         self.spark, self.folder, self.schema = spark, folder, schema
@@ -42,6 +42,7 @@ class Outbox:
         path = state_path(self.spark, self.folder)
         number = int(path.rsplit("/", 1)[1]) + 1 if path else 0
         df.write.mode("overwrite").parquet(f"{self.folder}/state/{number}")
+        prune(self.spark, self.folder, number - 1)
 
     def enqueue(self, versions: DataFrame, now: int) -> None:
         """Adds one operation a version; its op_id is the revision, so a version enqueued twice counts once."""

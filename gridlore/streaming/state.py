@@ -33,8 +33,9 @@ def maintain_latest(stream: DataFrame, key: list[str], folder: str, *, interval:
     """Upserts the latest version of each address into ``folder/state/<batch>``.
 
     A batch folds into the state of the one before it and is written whole under its own number, so a
-    repeated batch gives the same files; versions may come late, as order is by revision alone. Without an
-    interval the query ends when it has read what is there.
+    repeated batch gives the same files; versions may come late, as order is by revision alone. The state
+    before is kept for that, older ones are deleted. Without an interval the query ends when it has read
+    what is there.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -42,6 +43,8 @@ def maintain_latest(stream: DataFrame, key: list[str], folder: str, *, interval:
         old = state_path(spark, folder, number)
         merged = batch if old is None else batch.unionByName(spark.read.schema(batch.schema).parquet(old))
         latest(merged, key).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        if old is not None:
+            prune(spark, folder, int(old.rsplit("/", 1)[1]))
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -61,6 +64,16 @@ def state_path(spark: SparkSession, folder: str, before: int | None = None, *, n
     return f"{folder}/{name}/{max(numbers)}" if numbers else None
 
 
+def prune(spark: SparkSession, folder: str, below: int) -> None:
+    """Deletes the states of numbers below ``below``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(root):
+        if int(s.getPath().getName()) < below:
+            fs.delete(s.getPath(), True)
+
+
 def latest_from_log(spark: SparkSession, path: str, schema: StructType, project: Project, key: list[str]) -> DataFrame:
     """Runs the log that is there through ``maintain_latest`` and returns the state."""
     folder = scratch(spark, "latest")
